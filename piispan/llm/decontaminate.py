@@ -31,7 +31,7 @@ from piispan.llm.common import narrow, text_bytes
 MIN_MATCH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 16 << 20
 _PUNCTUATION = {i: " " for i in range(33, 127) if not chr(i).isalnum()}
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 2 << 20
 
 
 def normal(text: str | None) -> bytes:

@@ -13,11 +13,13 @@ that runs again after a lost executor sends the same cells.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc as ipc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,17 @@ _FLUSH = 48 << 20
 
 def _pack(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with ipc.new_stream(sink, t.schema, options=ipc.IpcWriteOptions(compression="zstd")) as w:
+    with ipc.new_stream(sink, t.schema) as w:
         w.write_table(t)
-    return sink.getvalue().to_pybytes()
+    return squeezed(sink.getvalue())
+
+
+def squeezed(data) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def expanded(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +74,7 @@ def chunked(docs: DataFrame, n: int, *columns: str) -> DataFrame:
 
 def unpacked(t: pa.Table) -> pa.Table:
     """The documents of a chunk, in an order that depends on them alone."""
-    docs = pa.concat_tables([ipc.open_stream(b).read_all() for b in t["body"].to_pylist()])
+    docs = pa.concat_tables([ipc.open_stream(expanded(b)).read_all() for b in t["body"].to_pylist()])
     return docs.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
 
 
@@ -108,6 +118,47 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted uint64 keys near the entropy of their differences: low 16 bits as they are, the rest squeezed."""
+    if not len(keys):
+        return b""
+    d = np.diff(keys, prepend=np.uint64(0))
+    first, d[0] = keys[0], 0
+    return struct.pack("<QI", int(first), len(keys)) + d.astype(np.uint16).tobytes() + pack_counts([d >> np.uint64(16)])
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.uint64)
+    first, n = struct.unpack_from("<QI", b)
+    d = np.frombuffer(b, np.uint16, n, 12).astype(np.uint64) | unpack_counts(b[12 + 2 * n :])[0] << np.uint64(16)
+    d[0] = first
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def pack_counts(arrays: list[np.ndarray]) -> bytes:
+    """Equally long arrays of mostly small numbers: a byte each, 255 for what follows in a list of larger ones; squeezed."""
+    parts = [struct.pack("<II", len(arrays), len(arrays[0]))]
+    for x in arrays:
+        x = x.astype(np.uint64)
+        large = x[x >= 255]
+        parts += [np.minimum(x, 255).astype(np.uint8).tobytes(), struct.pack("<I", len(large)), large.tobytes()]
+    return squeezed(b"".join(parts))
+
+
+def unpack_counts(b: bytes) -> list[np.ndarray]:
+    raw = expanded(b)
+    k, n = struct.unpack_from("<II", raw)
+    at, out = 8, []
+    for _ in range(k):
+        x = np.frombuffer(raw, np.uint8, n, at).astype(np.uint64)
+        (m,) = struct.unpack_from("<I", raw, at + n)
+        x[x == 255] = np.frombuffer(raw, np.uint64, m, at + n + 4)
+        at += n + 4 + 8 * m
+        out.append(x)
+    return out
+
+
 def bounds(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
     """Where the keys of each of n buckets begin in a sorted array; buckets are ranges of the key space."""
     edges = np.array([(i << bits) // n for i in range(n)], dtype=np.uint64)

@@ -4,18 +4,21 @@ Counts come from the whole corpus: each chunk sends its distinct bigrams with co
 of the hash space, a bucket sums them and answers the chunks with the corpus counts; from these
 the chunks derive what Kneser-Ney needs of each word (count as a history, how many words follow
 it once, twice, more often, how many different words it follows), again summed in buckets. The
-model is these buckets: sorted arrays of 40-bit hashes and their counts; none is broadcast.
+model is these buckets: sorted arrays of hashes and their counts; none is broadcast. Hashes have ten bits more than
+the corpus has words, so that about one key in a thousand shares its hash, at any size.
 A document's perplexity is judged against its language's lower and upper fence: quartiles of the
 log perplexity in that language, widened by `fence` times their distance.
 
 Defined results: null or empty texts have no words, fail the base rules and have null
 perplexity; a null language is a language of its own; repeated rows count each; a language
 whose quartiles coincide rejects nothing; extra columns are ignored; an empty table gives an
-empty result. Hash collisions (n / 2^40 of n keys) merge counts of the model only.
+empty result. Keys that share a hash share counts in the model only.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,31 +26,27 @@ from pyspark.sql import functions as F
 
 from piispan.llm import exchange as X
 from piispan.llm import words as W
-from piispan.llm.common import cut, n_chunks
+from piispan.llm.common import cut, n_partitions, text_bytes
 
 FENCE = 4.0
-KEY_BITS = 40
+SPARE_BITS = 10
+CHUNK_BYTES = 12 << 20
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
 SCORED = "doc_id {id}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
 BIGRAMS, WORDS, TOTALS = 0, 1, 2
+#: Of a word: its count as a history, how many words follow it once, twice, more often, how many it follows.
+STATS = ("c", "n1", "n2", "n3", "cont")
+#: Of a language: bigrams that occur once to four times, and all.
+LANG_STATS = ("t1", "t2", "t3", "t4", "all")
+_LINE_SPACE = b" \t\n\v\f\r"
 _START = np.uint64(0x5DEECE66D1CE4E5B)
-_LINE_SPACE = " \t\n\v\f\r"
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    return X._pack(pa.table({k: pa.array(v) for k, v in arrays.items()}))
-
-
-def _unpack(b: bytes) -> dict[str, np.ndarray]:
-    t = pa.ipc.open_stream(b).read_all()
-    return {c: t[c].to_numpy() for c in t.column_names}
 
 
 class _Chunk:
     """Words, languages and bigrams of a chunk; the same from each call on the same rows."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, bits: int):
         self.rows = X.unpacked(t)
         self.texts = X.texts(self.rows)
         self.w = W.split(self.texts)
@@ -62,53 +61,58 @@ class _Chunk:
         history[1:] = target[:-1]
         begin = self.w.first[:-1][self.w.counts() > 0]
         history[begin] = W.mix(_START ^ self.lang_keys[self.lang_of_word[begin]])
-        pair = W.mix(history * np.uint64(3) + target) >> np.uint64(64 - KEY_BITS)
+        pair = W.mix(history * np.uint64(3) + target) >> np.uint64(64 - bits)
         self.keys, at, self.inverse, self.counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        self.word_keys, ids = np.unique(np.concatenate((history[at], target[at])) >> np.uint64(64 - KEY_BITS), return_inverse=True)
+        self.word_keys, ids = np.unique(np.concatenate((history[at], target[at])) >> np.uint64(64 - bits), return_inverse=True)
         self.history, self.target = ids[: len(at)], ids[len(at) :]
         self.lang_of_pair = self.lang_of_word[at]
 
 
-def _bigram_answers(t: pa.Table, chunk: int, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bigram_answers(t: pa.Table, n: int, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The corpus counts of a chunk's bigrams, and which of them this chunk has to count as distinct."""
-    edge, total, own = X.bounds(keys, n, KEY_BITS), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    edge, total, own = X.bounds(keys, n, bits), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     for kind, b, body in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["body"].to_pylist(), strict=True):
         if kind == BIGRAMS:
-            x = _unpack(body)
-            total[edge[b] : edge[b + 1]] = x["n"]
-            own[edge[b] : edge[b + 1]] = np.unpackbits(x["own"], count=edge[b + 1] - edge[b]) if len(x["n"]) else []
+            counts, m = X.unpack_counts(body[4:])[0], int.from_bytes(body[:4], "little")
+            first = np.unpackbits(np.frombuffer(body[len(body) - m :], np.uint8), count=edge[b + 1] - edge[b]) if m else []
+            total[edge[b] : edge[b + 1]], own[edge[b] : edge[b + 1]] = counts, first
     return total, own
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+def _with_keys(keys: np.ndarray, arrays: list[np.ndarray]) -> bytes:
+    packed = X.pack_keys(keys)
+    return len(packed).to_bytes(4, "little") + packed + X.pack_counts(arrays)
+
+
+def _keys_and_counts(b: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    m = int.from_bytes(b[:4], "little")
+    return X.unpack_keys(b[4 : 4 + m]), X.unpack_counts(b[4 + m :])
+
+
+def _langs_and_counts(b: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    m = int.from_bytes(b[:4], "little")
+    return np.frombuffer(b, np.uint64, m, 4), X.unpack_counts(b[4 + 8 * m :])
 
 
 def score_perplexity(docs: DataFrame) -> DataFrame:
     """doc_id, lang, base measures and log_ppl (log of the perplexity, null without words)."""
-    n = n_chunks(docs)
+    size = text_bytes(docs)
+    n = max(1, n_partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
+    bits = min(60, SPARE_BITS + max(28, (size // 4).bit_length()))
     id_name = docs.schema["doc_id"].dataType.simpleString()
     chunks = X.chunked(docs, n, "lang")
 
     def send(key, t):
-        c = _Chunk(t)
-        edge = X.bounds(c.keys, n, KEY_BITS)
+        c = _Chunk(t, bits)
+        edge = X.bounds(c.keys, n, bits)
         full = [b for b in range(n) if edge[b + 1] > edge[b]]
-        sl = lambda x, b: x[edge[b] : edge[b + 1]]
-        bodies = []
-        for b in full:
-            packed = X.pack_sorted(sl(c.keys, b))
-            bodies.append(len(packed).to_bytes(4, "little") + packed + _pack(n=_small(sl(c.counts, b))))
+        bodies = [_with_keys(c.keys[edge[b] : edge[b + 1]], [c.counts[edge[b] : edge[b + 1]]]) for b in full]
         return X.cell_table(full, [key[0].as_py()] * len(full), [BIGRAMS] * len(full), bodies)
 
     def sum_bigrams(key, t):
         t = t.sort_by("chunk")
-        keys, counts = [], []
-        for b in t["body"].to_pylist():
-            m = int.from_bytes(b[:4], "little")
-            keys.append(X.unpack_sorted(b[4 : 4 + m]))
-            counts.append(_unpack(b[4 + m :])["n"].astype(np.int64))
+        cells = [_keys_and_counts(b) for b in t["body"].to_pylist()]
+        keys, counts = [k for k, _ in cells], [x[0] for _, x in cells]
         sizes = np.cumsum([len(x) for x in keys])[:-1]
         _, at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
@@ -116,59 +120,50 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
         own[at] = True  # of the first chunk that has it
         bodies = []
         for a, o in zip(np.split(total, sizes), np.split(own, sizes), strict=True):
-            bits = np.packbits(o)
-            bodies.append(_pack(n=_small(a), own=np.pad(bits, (0, len(a) - len(bits)))))
+            first = np.packbits(o).tobytes()
+            bodies.append(len(first).to_bytes(4, "little") + X.pack_counts([a]) + first)
         return X.cell_table([key[0].as_py()] * len(t), t["chunk"].to_pylist(), [BIGRAMS] * len(t), bodies)
 
     def word_stats(key, t, answers):
-        c = _Chunk(t)
-        total, own = _bigram_answers(answers, key[0].as_py(), n, c.keys)
+        c = _Chunk(t, bits)
+        total, own = _bigram_answers(answers, n, bits, c.keys)
         m = len(c.word_keys)
         add = lambda of, w: np.bincount(of, weights=w, minlength=m).astype(np.int64)
         stats = {"c": add(c.history, c.counts)}
         for i, is_n in enumerate((total == 1, total == 2, total >= 3), 1):
             stats[f"n{i}"] = add(c.history, own & is_n)
         stats["cont"] = add(c.target, own)
-        edge = X.bounds(c.word_keys, n, KEY_BITS)
+        edge = X.bounds(c.word_keys, n, bits)
         full = [b for b in range(n) if edge[b + 1] > edge[b]]
-        bodies = []
-        for b in full:
-            packed = X.pack_sorted(c.word_keys[edge[b] : edge[b + 1]])
-            bodies.append(len(packed).to_bytes(4, "little") + packed + _pack(**{k: _small(v[edge[b] : edge[b + 1]]) for k, v in stats.items()}))
+        bodies = [_with_keys(c.word_keys[edge[b] : edge[b + 1]], [stats[k][edge[b] : edge[b + 1]] for k in STATS]) for b in full]
         k = len(c.langs)
         of = lambda w: np.bincount(c.lang_of_pair, weights=w, minlength=k).astype(np.int64)
-        totals = _pack(lang=c.lang_keys, **{f"t{i}": of(own & (total == i)) for i in (1, 2, 3, 4)}, all=of(own))
+        totals = c.lang_keys.tobytes() + X.pack_counts([*[of(own & (total == i)) for i in (1, 2, 3, 4)], of(own)])
+        totals = len(c.lang_keys).to_bytes(4, "little") + totals
         return X.cell_table([*full, -1], [key[0].as_py()] * (len(full) + 1), [WORDS] * len(full) + [TOTALS], [*bodies, totals])
 
     def sum_words(key, t):
-        keys, stats, kind = [], [], t["kind"][0].as_py()
-        for b in t["body"].to_pylist():
-            if kind == WORDS:
-                m = int.from_bytes(b[:4], "little")
-                keys.append(X.unpack_sorted(b[4 : 4 + m]))
-                stats.append(_unpack(b[4 + m :]))
-            else:
-                x = _unpack(b)
-                keys.append(x.pop("lang"))
-                stats.append(x)
-        sizes = np.cumsum([len(x) for x in keys])[:-1]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = {k: np.bincount(inverse, weights=np.concatenate([s[k].astype(np.float64) for s in stats])).astype(np.int64)[inverse] for k in stats[0]}
-        parts = {k: np.split(v, sizes) for k, v in sums.items()}
-        bodies = [_pack(**{k: _small(v[i]) for k, v in parts.items()}) for i in range(len(keys))]
+        kind = t["kind"][0].as_py()
+        cells = [_keys_and_counts(b) if kind == WORDS else _langs_and_counts(b) for b in t["body"].to_pylist()]
+        sizes = np.cumsum([len(k) for k, _ in cells])[:-1]
+        _, inverse = np.unique(np.concatenate([k for k, _ in cells]), return_inverse=True)
+        sums = [np.bincount(inverse, weights=np.concatenate([x[i] for _, x in cells])).astype(np.int64)[inverse] for i in range(len(cells[0][1]))]
+        parts = [np.split(v, sizes) for v in sums]
+        bodies = [X.pack_counts([v[i] for v in parts]) for i in range(len(cells))]
         return X.cell_table([key[0].as_py()] * len(t), t["chunk"].to_pylist(), [kind] * len(t), bodies)
 
     def score(key, t, answers):
-        c = _Chunk(t)
-        count, _ = _bigram_answers(answers, key[0].as_py(), n, c.keys)
-        edge = X.bounds(c.word_keys, n, KEY_BITS)
-        stats = {k: np.zeros(len(c.word_keys)) for k in ("c", "n1", "n2", "n3", "cont")}
-        totals = {k: np.zeros(len(c.langs)) for k in ("t1", "t2", "t3", "t4", "all")}
+        c = _Chunk(t, bits)
+        count, _ = _bigram_answers(answers, n, bits, c.keys)
+        edge = X.bounds(c.word_keys, n, bits)
+        stats = {k: np.zeros(len(c.word_keys)) for k in STATS}
+        totals = {k: np.zeros(len(c.langs)) for k in LANG_STATS}
         for kind, b, body in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True):
-            for k, v in _unpack(body).items() if kind != BIGRAMS else ():
-                if kind == WORDS:
+            if kind == WORDS:
+                for k, v in zip(STATS, X.unpack_counts(body), strict=True):
                     stats[k][edge[b] : edge[b + 1]] = v
-                else:
+            elif kind == TOTALS:
+                for k, v in zip(LANG_STATS, X.unpack_counts(body), strict=True):
                     totals[k][:] = v
         t1, t2, t3, t4 = (np.maximum(totals[f"t{i}"], 1) for i in (1, 2, 3, 4))
         y = t1 / (t1 + 2 * t2)
@@ -207,7 +202,7 @@ def base_measures(w: W.Words, h: np.ndarray, texts: list[bytes | None]) -> dict[
     repeats = np.concatenate(([0], np.cumsum(again)))[w.first]
     dups = []
     for x in texts:
-        lines = [y for y in (x or b"").split(b"\n") if y.strip(b" \t\n\v\f\r")]
+        lines = [y for y in (x or b"").split(b"\n") if y.strip(_LINE_SPACE)]
         dups.append(len(lines) - len(set(lines)))
     return {k: pa.array(v, pa.int64()) for k, v in {"n_words": n, "word_chars": np.diff(chars), "n_symbols": np.diff(symbols), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": np.diff(repeats)}.items()}
 

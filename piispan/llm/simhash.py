@@ -34,7 +34,7 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 BLOCK = 16384
 _SPREAD = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)], np.uint8).view(np.uint64).ravel()
-_BYTES = 8 << 20
+_BYTES = 2 << 20
 
 
 def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:

@@ -13,26 +13,81 @@ import array
 import os
 import re
 import sys
+import unicodedata
 from functools import lru_cache
 
-MOST_WORDS = 400_000
+#: Words remembered, and words of letters only; beyond, the older half is forgotten unless it is asked for again.
+MOST_WORDS, MOST_CORES = 100_000, 240_000
+_CLOSING = ".,;:!?|"
 
 
-class _Ids(dict):
-    """Ids of a word, prefix included, as little-endian unsigned 32-bit integers."""
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def __init__(self, tokenizer, prefix: str):
+
+_LETTERS = _byte_letters()
+
+
+class _Words(dict):
+    """Ids of a word, prefix included, as little-endian unsigned 32-bit integers; made when first asked for.
+
+    A word of letters with closing punctuation, the common case, is two words to both vocabularies; each goes
+    straight to the library's merges. Anything else goes through the library's whole pipeline.
+    """
+
+    def __init__(self, tokenizer, prefix: str, lower: bool):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
+        self.lead = prefix.encode().decode("latin-1").translate(_LETTERS)
+        self.merges = tokenizer.model.tokenize
+        self.old, self.cores, self.old_cores, self.tails = {}, {}, {}, {}
+
+    def _core(self, letters: str) -> bytes:
+        """Letters only, in the normal form that the vocabulary wants."""
+        ids = self.old_cores.get(letters)
+        if ids is None:
+            mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
+            ids = array.array("I", [t.id for t in self.merges(self.lead + mapped)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            ids = ids.tobytes()
+        if 2 * len(self.cores) >= MOST_CORES:
+            self.old_cores, self.cores = self.cores, {}
+        self.cores[letters] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        ids = packed(self.tokenizer, self.prefix + word)
-        if len(word) < 200:
+        ids = self.old.get(word)
+        if ids is None:
+            letters = word.rstrip(_CLOSING)
+            plain = letters.isalpha() and len(letters) < 100
+            if plain:
+                low = letters.lower() if self.lower else letters
+                if not low.isascii():
+                    plain = low.isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", letters) and unicodedata.is_normalized("NFC", low)
+            if plain:
+                ids = self.cores.get(low) or self._core(low)
+                if len(letters) != len(word):
+                    tail = word[len(letters) :]
+                    ids += self.tails.get(tail) or self._tail(tail)
+            else:
+                ids = packed(self.tokenizer, self.prefix + word)
+        if len(word) < 100:
+            if 2 * len(self) >= MOST_WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
+    def _tail(self, tail: str) -> bytes:
+        ids = packed(self.tokenizer, tail)
+        if len(self.tails) < 10_000 and len(tail) < 20:
+            self.tails[tail] = ids
+        return ids
+
 
 def packed(tokenizer, text: str) -> bytes:
     ids = array.array("I", tokenizer.encode(text, add_special_tokens=False).ids) if text else array.array("I")
@@ -53,7 +108,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = self.tokenizer.normalizer is not None
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain, self.spaced = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
+        self.plain, self.spaced = (_Words(self.tokenizer, prefix, self.drops_space) for prefix in ("", " "))
         self.line_end = packed(self.tokenizer, "\n")
 
     def encode(self, text: str | None) -> bytes:

@@ -55,7 +55,7 @@ class Lexicon:
         """The largest weight of a word and its stems."""
         w = self.seen.get(word)
         if w is None:
-            if len(self.seen) >= 300_000:
+            if len(self.seen) >= 100_000:
                 self.seen.clear()
             get = self.weights.get
             w = max(6.0 if word in SEED_WORDS else 0.0, max(get(s, 0.0) for s in _stems(word)))

@@ -123,7 +123,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("PHONE", 0.78, r"(?<![\w.-])\d{3} \d{3} \d{4}(?!\d)", ("#",)),
         ("PHONE", 0.85, r"\btel:\+?[\d().-]{7,20}", ("tel:",)),
         ("PHONE", 0.82, r"%2B\d{8,15}(?!\d)", ("%2b",)),
-        ("PHONE", 0.80, r"(?<![\w.-])00\d{2}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\d)", ("00",)),
+        ("PHONE", 0.80, r"(?<![\w.-])00(?=[\d .-]*[2-9])\d{2}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\d)", ("00",)),
         ("PHONE", 0.78, r"(?<![\w.-])0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?!\d)", ("0",)),
         ("PHONE", 0.85, r"(?:电话|電話|手机|携帯|전화)\s*[::]?\s*[\d+() -]{7,18}\d", ("电话", "電話", "手机", "携帯", "전화")),
         ("PHONE", 0.70, r"(?<![\w.-])1[2-9]\d{9}(?![\d.-])", ("1",)),

@@ -151,7 +151,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("PRIVATE_URL", 0.90, rf"\bhttps?://(?:localhost|127\.\d+\.\d+\.\d+|10(?:\.{OCTET}){{3}}|192\.168(?:\.{OCTET}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.{OCTET}){{2}})(?::\d+)?[^\s\"'<>]*", ("://",)),
         ("PRIVATE_URL", 0.90, r"\bhttps?://[\w.-]+\.(?:internal|local|corp|lan|intranet|private)(?::\d+)?(?:/[^\s\"'<>]*)?", ("://",)),
         ("PRIVATE_URL", 0.85, r"\b[\w-]+(?:\.[\w-]+)*\.(?:internal|local|corp|lan|intranet)(?::\d+)?(?:/[^\s\"'<>]*)?(?![\w.])", (".internal", ".local", ".corp", ".lan", ".intranet")),
-        ("PRIVATE_URL", 0.80, r"\bhttps?://[A-Za-z][\w-]*(?::\d+)?(?:/[^\s\"'<>]*)?(?![\w.])", ("://",)),
+        ("PRIVATE_URL", 0.80, r"\bhttps?://[A-Za-z][\w-]*(?::\d+)?(?:/[^\s\"'<>]*)?(?![\w.%&\\])", ("://",)),
         ("URL", 0.85, r"\b(?:https?|ftp)://(?:[\w-]+\.)+[A-Za-z]{2,}(?::\d+)?(?:[/?#][^\s\"'<>]*)?", ("://",)),
         # numbers of documents and accounts
         ("PASSPORT", 0.85, r"(?i:\bpassport)(?:\s+(?i:number|no\.?|#|is))*\s*[:#]?\s*[A-Z]{0,2}\d{6,9}\b", ("passport",)),

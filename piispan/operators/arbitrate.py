@@ -52,6 +52,7 @@ class Config:
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     calibrated: bool = True
     enable_city: bool = True
+    min_votes: int = 1  # detectors that have to agree
     strict_overlap: bool = False  # URL priority only where the spans overlap
 
 
@@ -122,7 +123,7 @@ def fused(spans: DataFrame, docs: DataFrame, config: Config = Config()) -> DataF
         confidence = mean
     value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     out = f.withColumn("confidence", confidence).withColumn("value", F.coalesce(value, F.lit("")))
-    return out.filter((F.col("confidence") >= config.min_cluster_confidence) & (F.col("confidence") > 0)).select("doc_id", "cluster", "entity_type", "value", "start", "end", "confidence", F.size("detectors").alias("n_detectors"), F.col("checksum").alias("checksum_valid"), "votes", "type_stats")
+    return out.filter((F.col("confidence") >= config.min_cluster_confidence) & (F.col("confidence") > 0) & (F.size("detectors") >= config.min_votes)).select("doc_id", "cluster", "entity_type", "value", "start", "end", "confidence", F.size("detectors").alias("n_detectors"), F.col("checksum").alias("checksum_valid"), "votes", "type_stats")
 
 
 def _near_right(s: Column, t: Column) -> Column:

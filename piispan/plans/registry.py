@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +13,7 @@ from piispan.functions import checks
 from piispan.functions import detector as D
 from piispan.operators import act
 from piispan.operators.detect import detect, native_spans, span_view
+from piispan.schema import TYPE_NAMES
 
 KINDS = ("detector", "strategy", "validator", "policy", "metrics")
 
@@ -58,13 +60,29 @@ def _regex(docs: DataFrame) -> DataFrame:
     return span_view(docs.join(found, F.col("doc_id") == F.col("__d")).drop("__d"))
 
 
-def model_detector(name: str, load: Callable[[], Callable[[str], list[dict]]], floors: dict[str, float] | None = None, default_floor: float = 0.75) -> Callable[[DataFrame], DataFrame]:
-    """A detector from a model: `load` runs once in a Python worker, and gives text -> [{entity_type, start, end, score}].
+#: Labels of common recognisers by entity type; others are taken as they are if they are entity types, else as PERSON.
+LABELS = {
+    "PERSON": "PERSON", "PER": "PERSON", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "CREDIT_CARD": "CREDIT_CARD", "US_SSN": "SOCIAL_SECURITY", "IBAN_CODE": "IBAN", "IP_ADDRESS": "IP_ADDRESS", "US_BANK_NUMBER": "BANK_ACCOUNT",
+    "US_PASSPORT": "PASSPORT", "URL": "URL", "LOCATION": "CITY", "GPE": "CITY", "ORG": "COMPANY", "ORGANIZATION": "COMPANY", "DATE_TIME": "DATE",
+}
+_PRIVATE = re.compile(r"(?i)^https?://(?:localhost|127\.|10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)|\.(?:internal|local|corp|lan|intranet)(?:[:/]|$)|^https?://[^./:]+(?:[:/]|$)")
 
-    Spans below their type's floor go; URL spans become PRIVATE_URL if the host is private, else they go.
+
+def model_detector(name: str, load: Callable[[], Callable[[str], list[dict]]], floors: dict[str, float] | None = None, default_floor: float = 0.75, labels: dict[str, str] = LABELS) -> Callable[[DataFrame], DataFrame]:
+    """A detector from a model: `load` runs once for a task, and gives text -> [{entity_type, start, end, score}].
+
+    Labels become entity types; spans below their type's floor go; URL spans become PRIVATE_URL if the host is private, else they go.
     """
     floors = {"PERSON": 0.85} | (floors or {})
 
+    def accepted(text: str, s: dict) -> dict | None:
+        kind = labels.get(s["entity_type"], s["entity_type"])
+        kind = kind if kind in TYPE_NAMES else "PERSON"
+        value = text[s["start"] : s["end"]]
+        if kind == "URL":
+            kind = "PRIVATE_URL" if _PRIVATE.search(value) else ""
+        return {"entity_type": kind, "value": value, "start": s["start"], "end": s["end"], "score": float(s["score"]), "detector": name} if kind and s["score"] >= floors.get(kind, default_floor) else None
+
     def run(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
@@ -75,7 +93,7 @@ def model_detector(name: str, load: Callable[[], Callable[[str], list[dict]]], f
             model = load()
             for b in it:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
-                spans = [[s | {"value": t[s["start"] : s["end"]], "detector": name} for s in model(t) if s["score"] >= floors.get(s["entity_type"], default_floor)] if t else [] for t in texts]
+                spans = [[x for s in model(t) if (x := accepted(t, s))] if t else [] for t in texts]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, "spans"])
 
         return docs.mapInArrow(batches, f"{fields}, spans array<struct<entity_type:string,value:string,start:int,end:int,score:double,detector:string>>")

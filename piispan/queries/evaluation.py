@@ -13,6 +13,7 @@ from piispan.operators import act, telemetry
 from piispan.operators import detect as D
 from piispan.operators import evaluate as V
 from piispan.queries.sqltext import spans_cte
+from piispan.sources import fixtures
 from piispan.sources.tables import table
 
 
@@ -154,7 +155,25 @@ def audit_trail(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.audit(f).groupBy("event").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
-_ALL = (eval_match, eval_counts, eval_metrics, eval_confusion, eval_modes, eval_any_overlap, is_masked, stratified_split, ratchet_floors, ratchet_check, f1_gate, overfit_types, detection_rates, telemetry_snapshot, confidence_buckets, latency_stats, corpus_report, pii_density, risk_by_quality, audit_trail)
+def adversarial_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden values by way of hiding: share found in the text as it is, and with the normalised views."""
+    from piispan.functions.detector import Options
+
+    docs = fixtures.adversarial(spark, 10)
+    hit = lambda o, name: D.detect(docs, o, parallel=8).select(F.col("doc_id").alias(f"{name}_doc"), F.transform("spans", lambda s: s["entity_type"]).alias(f"{name}_types"))
+    j = docs.join(hit(Options(normalized_views=False), "raw"), F.col("doc_id") == F.col("raw_doc")).join(hit(Options(), "full"), F.col("doc_id") == F.col("full_doc"))
+    found = j.select("category", *[F.exists(f"{n}_types", lambda t: (t == F.col("type")) | (t == F.concat(F.lit("MASKED_"), F.col("type")))).alias(f"{n}_hit") for n in ("raw", "full")])
+    return V.detection_rates(found)
+
+
+def labelled_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the whole detector on made examples."""
+    docs, g = fixtures.labelled(spark, 20)
+    found = D.span_view(docs.join(D.detect(docs, parallel=8).withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d")))
+    return V.metrics(V.counts(g, D.exploded(found).withColumnRenamed("span_id", "pred_id")))
+
+
+_ALL = (adversarial_detection, labelled_detection, eval_match, eval_counts, eval_metrics, eval_confusion, eval_modes, eval_any_overlap, is_masked, stratified_split, ratchet_floors, ratchet_check, f1_gate, overfit_types, detection_rates, telemetry_snapshot, confidence_buckets, latency_stats, corpus_report, pii_density, risk_by_quality, audit_trail)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _DATA = f"""WITH {spans_cte()},

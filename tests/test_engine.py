@@ -335,3 +335,37 @@ def test_entry_without_the_llm_part(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_made_examples_are_found(spark):
+    from piispan.queries import queries
+
+    m = {r["entity_type"]: r["recall"] for r in queries()["labelled_detection"](spark, "").collect() if r["n"]}
+    assert min(m.values()) >= 0.9, m
+    a = {r["category"]: (r["raw_rate"], r["full_rate"]) for r in queries()["adversarial_detection"](spark, "").collect()}
+    assert all(full >= raw for raw, full in a.values())
+    assert sum(full >= 0.8 for _, full in a.values()) >= 0.7 * len(a), a
+
+
+def test_events():
+    from piispan.plans.events import Bus, NoBus, config_hash
+
+    seen, bus = [], Bus()
+    bus.subscribe("before_risk", lambda e, d: 1 / 0)
+    add = lambda e, d: seen.append((e, d))
+    bus.subscribe("before_risk", add)
+    with bus.stage("risk", 3):
+        pass
+    bus.unsubscribe("before_risk", add)
+    bus.emit("before_risk")
+    NoBus().emit("before_risk")
+    assert seen == [("before_risk", 3)] and len(config_hash({"a": 1})) == 12
+    with pytest.raises(ValueError):
+        bus.subscribe("nothing", add)
+
+
+def test_observed_counts(spark):
+    from piispan.plans.events import observed, truncated
+
+    docs, o = observed(detect.native_spans(spark.createDataFrame([(1, "a@b.co"), (2, "x" * 20)], "doc_id long, text string")))
+    assert docs.select(F.max(F.length(truncated(F.col("text"), 10)))).first()[0] == 25 and o.get["spans"] == 1

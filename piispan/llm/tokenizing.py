@@ -12,13 +12,14 @@ from __future__ import annotations
 import array
 import os
 import re
+import string
 import sys
 import unicodedata
 from functools import lru_cache
 
 #: Words remembered, and words of letters only; beyond, the older half is forgotten unless it is asked for again.
-MOST_WORDS, MOST_CORES = 100_000, 240_000
-_CLOSING = ".,;:!?|"
+MOST_WORDS, MOST_CORES = 160_000, 400_000
+_CLOSING = string.punctuation
 
 
 def _byte_letters() -> dict[int, int]:
@@ -96,8 +97,13 @@ def packed(tokenizer, text: str) -> bytes:
     return ids.tobytes()
 
 
-#: A space or line end beside other white space, or any other white space.
-_UNCERTAIN = re.compile(r"[^\S \n]|[ \n][ \n]")
+_BESIDE = ("  ", "\n\n", " \n", "\n ")
+_OTHER_SPACE, _WIDE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f", re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _uncertain(text: str) -> bool:
+    """A space or line end beside other white space, or any other white space."""
+    return any(x in text for x in _BESIDE) or any(c in text for c in _OTHER_SPACE) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
 
 
 class Encoder:
@@ -119,7 +125,7 @@ class Encoder:
             return packed(self.tokenizer, text)
         if self.drops_space:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
-        if _UNCERTAIN.search(text):
+        if _uncertain(text):
             return packed(self.tokenizer, text)
         out = []
         for line in text.split("\n"):

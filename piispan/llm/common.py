@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -47,6 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """Like `stored`; then lets Spark drop the shuffle files of the finished job, which it does once the driver has
+    collected the job's plan, so that a chain of such jobs needs the disk of its largest one only."""
+    out = stored(df, name)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

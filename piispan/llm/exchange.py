@@ -137,12 +137,14 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 
 def pack_counts(arrays: list[np.ndarray]) -> bytes:
-    """Equally long arrays of mostly small numbers: a byte each, 255 for what follows in a list of larger ones; squeezed."""
+    """Equally long arrays of mostly small numbers, squeezed: a byte each; 255 stands for two bytes in a second list,
+    65535 there for eight in a third."""
     parts = [struct.pack("<II", len(arrays), len(arrays[0]))]
     for x in arrays:
         x = x.astype(np.uint64)
-        large = x[x >= 255]
-        parts += [np.minimum(x, 255).astype(np.uint8).tobytes(), struct.pack("<I", len(large)), large.tobytes()]
+        mid = x[x >= 255]
+        large = mid[mid >= 65535]
+        parts += [np.minimum(x, 255).astype(np.uint8).tobytes(), struct.pack("<II", len(mid), len(large)), np.minimum(mid, 65535).astype(np.uint16).tobytes(), large.tobytes()]
     return squeezed(b"".join(parts))
 
 
@@ -152,9 +154,13 @@ def unpack_counts(b: bytes) -> list[np.ndarray]:
     at, out = 8, []
     for _ in range(k):
         x = np.frombuffer(raw, np.uint8, n, at).astype(np.uint64)
-        (m,) = struct.unpack_from("<I", raw, at + n)
-        x[x == 255] = np.frombuffer(raw, np.uint64, m, at + n + 4)
-        at += n + 4 + 8 * m
+        m, large = struct.unpack_from("<II", raw, at + n)
+        at += n + 8
+        mid = np.frombuffer(raw, np.uint16, m, at).astype(np.uint64)
+        at += 2 * m
+        mid[mid == 65535] = np.frombuffer(raw, np.uint64, large, at)
+        at += 8 * large
+        x[x == 255] = mid
         out.append(x)
     return out
 

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from piispan.llm import exchange as X
 from piispan.llm import words as W
-from piispan.llm.common import cut, n_partitions, text_bytes
+from piispan.llm.common import cut, n_partitions, stored_alone, text_bytes
 
 FENCE = 4.0
 SPARE_BITS = 10
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
 SCORED = "doc_id {id}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
@@ -180,11 +180,11 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
             log_ppl = np.bincount(text_of, weights=surprise[c.inverse], minlength=n_texts) / n_words
         return pa.table({"doc_id": c.rows["doc_id"], "lang": c.rows["lang"], **base_measures(c.w, c.plain, c.texts), "log_ppl": pa.array(log_ppl, mask=n_words == 0)})
 
-    cells = chunks.groupBy("chunk").applyInArrow(send, X.CELLS)
-    counted = cells.groupBy("bucket").applyInArrow(sum_bigrams, X.CELLS)
-    per_word = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(word_stats, X.CELLS)
-    summed = per_word.groupBy("bucket").applyInArrow(sum_words, X.CELLS)
-    return chunks.groupBy("chunk").cogroup(counted.unionByName(summed).groupBy("chunk")).applyInArrow(score, SCORED.format(id=id_name))
+    by_chunk = lambda df: df.groupBy("chunk")
+    # three jobs, the first two written to the shared folder: each holds the shuffled texts and one exchange
+    counted = stored_alone(by_chunk(chunks).applyInArrow(send, X.CELLS).groupBy("bucket").applyInArrow(sum_bigrams, X.CELLS), "bigrams")
+    summed = stored_alone(by_chunk(chunks).cogroup(by_chunk(counted)).applyInArrow(word_stats, X.CELLS).groupBy("bucket").applyInArrow(sum_words, X.CELLS), "words")
+    return by_chunk(chunks).cogroup(by_chunk(counted.unionByName(summed))).applyInArrow(score, SCORED.format(id=id_name))
 
 
 def base_measures(w: W.Words, h: np.ndarray, texts: list[bytes | None]) -> dict[str, pa.Array]:

@@ -72,6 +72,17 @@ def test_packed_keys_round_trip(keys):
     assert exchange.unpack_sorted(exchange.pack_sorted(np.array(keys, np.uint64))).tolist() == keys
 
 
+@pytest.mark.parametrize("values", [[], [0], [254, 255, 256, 65534, 65535, 65536, 1 << 40], list(range(1000))])
+def test_packed_counts_round_trip(values):
+    a = np.array(values, np.uint64)
+    assert [x.tolist() for x in exchange.unpack_counts(exchange.pack_counts([a, a[::-1]]))] == [values, values[::-1]]
+
+
+@pytest.mark.parametrize("keys", [[], [5], [0, 1, 2], [0, 1 << 30, 1 << 59], list(range(0, 1 << 38, 1 << 30))])
+def test_near_entropy_keys_round_trip(keys):
+    assert exchange.unpack_keys(exchange.pack_keys(np.array(keys, np.uint64))).tolist() == keys
+
+
 def brute_dedup(texts, k):
     ws = [WORD.findall(t or "") for t in texts]
     n = collections.Counter(tuple(x[i : i + k]) for x in ws for i in range(len(x) - k + 1))

@@ -13,10 +13,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = (
-    "flagship", "native_scan", "redact_mask", "policy_decision", "norm_full", "detect_full", "filter_full", "span_fuse_vote", "arbitrated", "pipeline_merge", "max_merge",
-    "alias_map", "unfilter_roundtrip", "eval_metrics", "eval_confusion", "corpus_report", "proxied_conversations", "stratified_split",
-)
+HEADLINE = ("flagship", "native_scan", "redact_mask", "policy_decision", "detect_full", "filter_full", "alias_map", "pipeline_merge", "eval_metrics", "corpus_report")
 
 
 def main() -> None:

@@ -28,7 +28,8 @@ from piispan.llm import exchange as X
 from piispan.llm import words as W
 from piispan.llm.common import cut, n_partitions, stored_alone, text_bytes
 
-FENCE = 4.0
+#: At 0.1 a document scored without its own counts tells less: copies go, and junk of rare words stays inside the fences.
+FENCE = 2.0
 SPARE_BITS = 10
 CHUNK_BYTES = 8 << 20
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20

@@ -307,6 +307,19 @@ def test_quality_rules(spark, corpus):
     assert np.mean([g["kept"] for g in got.values() if not g["base_failed"]]) > 0.9
 
 
+def test_perplexity_rejects_junk_on_both_sides_in_every_language(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = perplexity.quality_filter(d).join(lab.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").filter("not base_failed and quality is not null").collect()
+    seen = {}
+    for lang in sorted({r["lang"] for r in rows}):
+        junk, clean = ([r for r in rows if r["lang"] == lang and r["quality"] == q] for q in (0, 1))
+        low, high = sum(r["perplexity"] < r["lower_perplexity"] for r in junk), sum(r["perplexity"] > r["upper_perplexity"] for r in junk)
+        seen[lang] = low, high, len(junk), sum(not r["kept"] for r in clean), len(clean)
+    print(seen)
+    for low, high, n_junk, n_lost, n_clean in seen.values():
+        assert low and high and low + high > 0.7 * n_junk and n_lost < 0.06 * n_clean, seen
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)

@@ -2,7 +2,8 @@
 
 The base patterns run over the whole text. Then every token that may be percent-encoded, Unicode-
 or entity-escaped, or base64 is decoded; base64 that holds gzip, zlib or bzip2 data is unpacked. Each decoded
-token is a new layer on the worklist, scanned by the same patterns and searched for tokens again, until no
+token is a new layer on the worklist, and so is the whole text with all tokens of one coding decoded in place,
+which shows secrets that are encoded in part. Layers are scanned by the same patterns and searched for tokens again, until no
 layer is new; a layer with the same content and place as an earlier one is not taken again, so cycles end.
 Each character of a layer remembers where in the text it comes from, so a secret's span covers
 the encoded characters.
@@ -168,6 +169,23 @@ def _tokens(text: str) -> Iterator[tuple[re.Match, object]]:
     yield from ((m, None) for m in _BASE64.finditer(text))
 
 
+def _layers(text: str, most: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Pieces of each layer under `text`: its tokens alone, then the whole text with the tokens of one coding in place."""
+    place, at = [], 0
+    for m, decode in _tokens(text):
+        pieces = [(c, m.start() + a, m.start() + b) for c, a, b in (decode(m[0]) if decode else _from_base64(m[0], most))]
+        yield pieces
+        if decode is None and pieces:
+            place += [(text[i], i, i + 1) for i in range(at, m.start())] + pieces
+            at = m.end()
+    if place:
+        yield place + [(text[i], i, i + 1) for i in range(at, len(text))]
+    if _PERCENTS.search(text):
+        yield list(_percent(text))
+    if _ESCAPE.search(text):
+        yield list(_unescape(text))
+
+
 def scan(text: str | None, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans (base ones and those of decoded layers); by start, then kind."""
     if not text:
@@ -177,14 +195,14 @@ def scan(text: str | None, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span]
     found, seen, work = set(base), set(), [(text, None)]
     while work:
         content, layer = work.pop()
-        for m, decode in _tokens(content):
-            pieces = list(decode(m[0]) if decode else _from_base64(m[0], max_unpacked))
+        for pieces in _layers(content, max_unpacked):
             decoded = "".join(p[0] for p in pieces)
-            if not decoded or decoded == m[0]:
+            if not decoded or decoded == content:
                 continue
             lo, hi = [], []
             for c, a, b in pieces:
-                a, b = (m.start() + a, m.start() + b) if layer is None else layer.span(m.start() + a, m.start() + b)
+                if layer is not None:
+                    a, b = layer.span(a, b)
                 lo += [a] * len(c)
                 hi += [b] * len(c)
             if (decoded, min(lo), max(hi)) in seen:

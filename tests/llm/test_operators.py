@@ -432,6 +432,22 @@ def test_secret_scan_of_nested_compression():
     assert ("assign", 2, 2 + len(token)) in secret_scan.scan("x " + token)[1]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        r'{"password": "\u0041bcdefgh12345678"}', 'password = "Abc%64efgh12345678"', "password%20= Abcdefgh12345678", r'"pass\u0077ord": "Abcdefgh12345678"', "password &#61; Abcdefgh12345678",
+        r"pass%77ord = \u0041bcdefgh12345678", encoded("The password of this host is", ["base64"]) + " " + encoded("is password =", ["base64"]) + " Abcdefgh12345678",
+        encoded(r'{"password": "\u0041bcdefgh12345678"}', ["base64"]), encoded("password = Abc%64efgh12345678", ["gzip"]),
+    ],
+)
+def test_secrets_encoded_in_part(text):
+    for lead in ("", "see é "):
+        base, spans = secret_scan.scan(f"{lead}{text} and 100% more")
+        assert not [s for s in base if s[0] != "hex"]
+        assert any(k == "assign" and a >= len(lead) and b <= len(lead) + len(text) for k, a, b in spans), spans
+        assert "h12345678" not in secret_scan.redact(lead + text, spans)
+
+
 def test_base_secrets_by_brute_force(docs, corpus):
     def brute(t):
         out = []

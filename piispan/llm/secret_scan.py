@@ -8,8 +8,12 @@ layer is new; a layer with the same content and place as an earlier one is not t
 Each character of a layer remembers where in the text it comes from, so a secret's span covers
 the encoded characters.
 
-Defined results: a null or empty text has no spans; a token that decodes to other than readable text
-is left alone; unpacking stops at `max_unpacked` bytes of a token, and a token beyond it is reported as it is
+Base64 may follow other characters of its alphabet (a path, a name) or be wrapped over lines: every run is decoded from its
+first four characters on, joined over line ends too, and compressed data is sought at each group; all members are unpacked.
+Bytes that are no UTF-8 are replaced, and the rest is scanned.
+
+Defined results: a null or empty text has no spans; base64 is put in place of its token only if three quarters of it
+are text; unpacking stops at `max_unpacked` bytes of a token, and a token beyond it is reported as it is
 (a decompression bomb is no text); repeated rows have equal results; extra columns are ignored; an
 empty table gives an empty result.
 """
@@ -17,7 +21,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import re
 import zlib
@@ -41,9 +44,15 @@ _PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 _ESCAPED = re.compile(r"[^\s\"']*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\s\"']*")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]")
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\udc80-\udcff]")
+_BAD = re.compile(r"[\udc80-\udcff]")
 _PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 
 Span = tuple[str, int, int]
+#: Decoded characters, each with the places that it comes from.
+Pieces = list[tuple[str, int, int]]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -69,31 +78,30 @@ class _Layer:
         return min(self.lo[a:b]), max(self.hi[a:b])
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """What gzip, zlib or bzip2 data holds; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(raw, most)
-            return out if d.eof else None
-        else:
+    """What all members of gzip, zlib or bzip2 data hold; None for anything else."""
+    out, left = [], most
+    while True:
+        try:
+            if raw[:2] == b"\x1f\x8b":
+                d = zlib.decompressobj(31)
+            elif raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+                d = zlib.decompressobj()
+            elif raw[:3] == b"BZh":
+                d = bz2.BZ2Decompressor()
+            else:
+                break
+            part = d.decompress(raw, left + 1)
+        except (zlib.error, OSError, EOFError):
+            break
+        if len(part) > left:
             return None
-        out = d.decompress(raw, most)
-        return out if d.eof else None
-    except (zlib.error, OSError, EOFError):
-        return None
+        if not d.eof:
+            break
+        out.append(part)
+        left -= len(part)
+        raw = d.unused_data
+    return b"".join(out) if out else None
 
 
 def _percent(token: str) -> Iterator[tuple[str, int, int]]:
@@ -132,28 +140,37 @@ def _unescape(token: str) -> Iterator[tuple[str, int, int]]:
         yield token[i], i, i + 1
 
 
-def _from_base64(token: str, most: int) -> Iterator[tuple[str, int, int]]:
-    """Characters by the group of four that they come from; of unpacked data, by the token."""
-    body = token.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    inner = _unpacked(raw, most)
-    if inner is not None:
-        for c in _readable(inner) or _wrapped(inner):
-            yield c, 0, len(token)
-        return
-    text = _readable(raw)
-    if text is None:
-        return
-    i = 0
-    for c in text:
-        size = len(c.encode())
-        yield c, i * 4 // 3, min(len(token), -(-(i + size) * 4 // 3))
-        i += size
+def _from_base64(token: str, most: int) -> tuple[list[Pieces], Pieces]:
+    """Layers of a run of base64, and the one that can stand in its place (empty if none is text).
+
+    Characters come from the group of four; those of unpacked data from all that follows its first group.
+    """
+    at = [i for i, c in enumerate(token) if not c.isspace() and c != "="]
+    body = "".join(token[i] for i in at).translate({45: 43, 95: 47})
+    layers, best, odd = [], [], 1 / 4
+    for k in range(4):
+        part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        if len(part) < 2:
+            continue
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for m in _PACKED.finditer(raw):
+            if m.start() % 3 == 0 and (inner := _unpacked(raw[m.start() :], most)) is not None:
+                first = at[k + m.start() // 3 * 4]
+                layers.append([(c, first, len(token)) for c in _wrapped(inner) or _BAD.sub("\ufffd", inner.decode("utf-8", "surrogateescape"))])
+                best, odd = [(c, i, i + 1) for i, c in enumerate(token[:first])] + layers[-1], -1
+        text = raw.decode("utf-8", "surrogateescape")
+        share = len(_ODD.findall(text)) / len(text)
+        if share >= odd and not base_spans(text) and next(_tokens(text), None) is None:
+            continue
+        pieces, i = [], 0
+        for c in text:
+            size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+            pieces.append(("\ufffd" if "\udc80" <= c <= "\udcff" else c, at[k + i * 4 // 3], at[k + min(len(part), -(-(i + size) * 4 // 3)) - 1] + 1))
+            i += size
+        layers.append(pieces)
+        if share < odd:
+            best, odd = [(c, i, i + 1) for i, c in enumerate(token[: at[k]])] + pieces, share
+    return layers, best
 
 
 def _wrapped(raw: bytes) -> str:
@@ -161,25 +178,46 @@ def _wrapped(raw: bytes) -> str:
     return base64.b64encode(raw).decode() if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" or raw[:3] == b"BZh" else ""
 
 
+def _wrapped_runs(text: str) -> Iterator[re.Match]:
+    """Runs of base64 over lines; a line shorter than the one before is the last (a first line may hold more than data)."""
+    at = 0
+    while m := _WRAPPED.search(text, at):
+        lines = [(x.start(), x.end()) for x in re.finditer(r"[^\s=]+=*", m[0])]
+        size = [b - a for a, b in lines]
+        last = next((i for i in range(1, len(size)) if size[i] < size[i - 1] and not (i == 1 and size[1] == size[min(2, len(size) - 1)] and len(size) > 2)), len(size) - 1)
+        at = m.start() + lines[last][1]
+        yield _WRAPPED.match(text, m.start(), at)
+
+
 def _tokens(text: str) -> Iterator[tuple[re.Match, object]]:
     if "%" in text:
         yield from ((m, _percent) for m in _PERCENT.finditer(text))
     if "\\" in text or "&#" in text:
         yield from ((m, _unescape) for m in _ESCAPED.finditer(text))
     yield from ((m, None) for m in _BASE64.finditer(text))
+    if "\n" in text:
+        yield from ((m, None) for m in _wrapped_runs(text))
 
 
-def _layers(text: str, most: int) -> Iterator[list[tuple[str, int, int]]]:
-    """Pieces of each layer under `text`: its tokens alone, then the whole text with the tokens of one coding in place."""
-    place, at = [], 0
+def _layers(text: str, most: int) -> Iterator[Pieces]:
+    """Each layer under `text`: its tokens alone, then the whole text with the tokens of one coding in place."""
+    runs: dict[re.Pattern, list[tuple[int, int, Pieces]]] = {_BASE64: [], _WRAPPED: []}
     for m, decode in _tokens(text):
-        pieces = [(c, m.start() + a, m.start() + b) for c, a, b in (decode(m[0]) if decode else _from_base64(m[0], most))]
-        yield pieces
-        if decode is None and pieces:
-            place += [(text[i], i, i + 1) for i in range(at, m.start())] + pieces
-            at = m.end()
-    if place:
-        yield place + [(text[i], i, i + 1) for i in range(at, len(text))]
+        moved = lambda pieces, by=m.start(): [(c, by + a, by + b) for c, a, b in pieces]
+        if decode:
+            yield moved(decode(m[0]))
+            continue
+        layers, best = _from_base64(m[0], most)
+        yield from map(moved, layers)
+        if best:
+            runs[m.re].append((*m.span(), moved(best)))
+    for places in runs.values():
+        whole, at = [], 0
+        for a, b, pieces in places:
+            whole += [(text[i], i, i + 1) for i in range(at, a)] + pieces
+            at = b
+        if whole:
+            yield whole + [(text[i], i, i + 1) for i in range(at, len(text))]
     if _PERCENTS.search(text):
         yield list(_percent(text))
     if _ESCAPE.search(text):

@@ -2,6 +2,7 @@
 
 import array
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
@@ -448,6 +449,43 @@ def test_secrets_encoded_in_part(text):
         assert "h12345678" not in secret_scan.redact(lead + text, spans)
 
 
+@pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\ufeff", "\u200b", "\f", "\0"])
+def test_base64_of_text_with_odd_characters(mark):
+    token = encoded(f"note{mark} {SECRET} {mark}", ["base64"])
+    assert any(k == "assign" and 2 <= a < b <= 2 + len(token) for k, a, b in secret_scan.scan("x " + token)[1])
+    token = base64.b64encode(b"\xff\xfe\x80" + SECRET.encode()).decode()
+    assert any(k == "assign" for k, *_ in secret_scan.scan("x " + token)[1])
+
+
+@pytest.mark.parametrize("how", [["base64"], ["gzip"], ["zlib"], ["gzip", "gzip"]])
+@pytest.mark.parametrize("lead", ["conf/", "note-", "a_", "ab/c", "/", "key=", "etc/conf/x-"])
+def test_base64_after_other_characters(how, lead):
+    token = encoded(SECRET, how)
+    spans = [s for s in secret_scan.scan(f"x {lead}{token} end")[1] if s[0] == "assign"]
+    assert any(2 + len(lead) <= a + 3 and b <= 2 + len(lead) + len(token) for _, a, b in spans), spans
+
+
+def lines_of(token, end="\n", width=76):
+    return end.join(token[i : i + width] for i in range(0, len(token), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64(end):
+    noise = "".join(chr(33 + i * i % 89) for i in range(300)).replace("%", "").replace("=", "")
+    for body in (noise.encode() + b" " + SECRET.encode(), bz2.compress(noise.encode() + SECRET.encode()), b"a" * 48 + SECRET.encode(), zlib.compress(noise.encode()[::-1] + b" " + SECRET.encode())):
+        text = lines_of(base64.b64encode(body).decode(), end)
+        assert end in text
+        spans = secret_scan.scan(f"file:\n{text}\nend of it")[1]
+        assert any(k == "assign" and 6 <= a < b <= 6 + len(text) for k, a, b in spans), (body[:20], spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_all_members_of_compressed_data(pack):
+    token = base64.b64encode(pack(b"first part ") + pack(b"passw") + pack(b"ord = Abcdefgh12345678")).decode()
+    assert ("assign", 2, 2 + len(token)) in secret_scan.scan("x " + token)[1]
+    assert secret_scan._unpacked(pack(b"a" * 20) + pack(b"b" * 20), 40) == b"a" * 20 + b"b" * 20
+
+
 def test_base_secrets_by_brute_force(docs, corpus):
     def brute(t):
         out = []

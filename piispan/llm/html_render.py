@@ -6,7 +6,8 @@ end tags close up to their element and are dropped if none is open. A renderer w
 shown (head, script, style, template, `hidden`, `display:none`, `visibility:hidden`, `aria-hidden`) give nothing;
 white space collapses outside `pre`; blocks begin lines, paragraphs and headings have an empty line
 around them; list items have a bullet or number and their depth's indent; `br` and `hr` break lines; tables are
-rendered with a row a line and cells padded to their column's width.
+rendered with a row a line and cells padded to their column's width; cells without a row get one, and what stands in a
+table outside its cells comes before it.
 
 The tree and its walk use lists as stacks, so depth of nesting is not bounded by recursion.
 
@@ -171,17 +172,37 @@ class _Lines:
         self.gap = 1
 
 
-def _row_cells(table: Node) -> list[list[Node]]:
-    rows, work = [], list(reversed(table.children))
+def _table_parts(table: Node) -> tuple[list[list[Node]], list[Node], Node]:
+    """Cells by row, captions, and what stands outside both; cells without a row get one, elements around rows are looked through."""
+    rows: list[list[Node]] = []
+    captions: list[Node] = []
+    stray, implied = Node("div"), None
+    work: list[tuple] = [(c, None, stray) for c in reversed(table.children)]
     while work:
-        node = work.pop()
-        if not isinstance(node, Node) or not visible(node):
+        node, row, into = work.pop()
+        if isinstance(node, str):
+            into.children.append(node)
+        elif not visible(node):
             continue
-        if node.tag == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-        elif node.tag in ("thead", "tbody", "tfoot"):
-            work += reversed(node.children)
-    return rows
+        elif node.tag in ("td", "th"):
+            if row is None:
+                if implied is None:
+                    rows.append(implied := [])
+                row = implied
+            row.append(node)
+        elif node.tag == "caption":
+            captions.append(node)
+        else:
+            if node.tag == "tr":
+                rows.append(row := [])
+            if node.tag in ("tr", "thead", "tbody", "tfoot"):
+                implied = None
+            else:
+                shell = Node(node.tag, node.attributes)
+                into.children.append(shell)
+                into = shell
+            work += [(c, row, into) for c in reversed(node.children)]
+    return rows, captions, stray
 
 
 def _has_table(node: Node) -> bool:
@@ -196,11 +217,12 @@ def _has_table(node: Node) -> bool:
 
 
 def _aligned(table: Node) -> list[str] | None:
-    """Lines of a table of simple cells; None for one that holds tables (layout), which is shown as blocks."""
+    """Lines of a table of simple cells, after those of what it holds outside its cells; None for one that holds tables (layout), which is shown as blocks."""
     if _has_table(table):
         return None
     rows = []
-    for cells in _row_cells(table):
+    table_rows, captions, stray = _table_parts(table)
+    for cells in table_rows:
         row: list[str] = []
         for c in cells:
             row.append(" ".join(x.strip() for x in render(c).split("\n") if x.strip()))
@@ -209,8 +231,8 @@ def _aligned(table: Node) -> list[str] | None:
         if any(row):
             rows.append(row)
     width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    captions = [render(c) for c in table.children if isinstance(c, Node) and c.tag == "caption" and visible(c)]
-    return [x for x in captions if x] + ["  ".join(x.ljust(w) for x, w in zip(r, width, strict=False)).rstrip() for r in rows]
+    lines = [x for x in render(stray).split("\n") if x] + [x for c in captions if (x := render(c))]
+    return lines + ["  ".join(x.ljust(w) for x, w in zip(r, width, strict=False)).rstrip() for r in rows]
 
 
 def render(root: Node) -> str:

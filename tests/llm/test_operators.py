@@ -550,6 +550,25 @@ def test_html():
     assert e("<table><tr><td><table><tr><td>in</table></table>out") == "in\n\nout"
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><td>a</tbody><tbody><td>b</table>", "a\nb"),
+        ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"),
+        ("<table><center><div><tr><td>a<tr><td>b</div></center></table>", "a\nb"),
+        ("<table><tr><form><td>a<td>b</form></tr></table>", "a  b"),
+        ("<p>x</p><table>loose<tr>more<td>a</td></tr><p>in p</p><caption>c</caption></table>z", "x\n\nloosemore\nin p\nc\na\n\nz"),
+        ("<table><ul><li>one<li>two</ul><tr><td hidden>h</td><td>a</table>", "- one\n- two\na"),
+        ("<table><tr><td>a</td></tr><script>s</script><div hidden>h</div></table>", "a"),
+        ("<table>" + "<div>" * 5000 + "deep<td>a</table>", "deep\na"),
+    ],
+)
+def test_html_tables_lose_no_visible_text(source, text):
+    assert html_render.extract_text(source) == text
+
+
 def test_render_pages(spark, sf_dir):
     out = html_render.render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert out and all("<script" not in r["text"] and "track(" not in r["text"] for r in out)

@@ -2,9 +2,9 @@
 
 A shard file holds documents in ascending key order:
 
-    blocks   entries of (shared u16, suffix length u16, token count u32, suffix, token ids); the key is
+    blocks   entries of (shared u32, suffix length u32, token count u32, suffix, token ids); the key is
              the first `shared` bytes of the entry before, then the suffix; a block starts anew (shared 0)
-    index    for each block: key length u16, first key, offset u64, bytes u32, entries u32, crc32 u32
+    index    for each block: key length u32, first key, offset u64, bytes u32, entries u32, crc32 u32
     Bloom    10 bits a key, 7 probes
     footer   index offset u64, index bytes u64, Bloom offset u64, Bloom bytes u64, documents u64,
              tokens u64, bytes of an id u8, magic 8 bytes
@@ -32,16 +32,16 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from piispan.llm.common import fresh_path, n_chunks, narrow
+from piispan.llm.common import fresh_path, n_chunks, n_partitions, narrow, stored
 from piispan.llm.tokenizing import encoder, public_path
 
 MAGIC = b"PSPNSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_PROBES = 64 << 10, 10, 7
-SHARD_TEXT = 32 << 20
-_ENTRY, _INDEX, _FOOTER = struct.Struct("<HHI"), struct.Struct("<QIII"), struct.Struct("<QQQQQQB8s")
+SHARD_TEXT = 128 << 20
+_ENTRY, _INDEX, _FOOTER = struct.Struct("<III"), struct.Struct("<QIII"), struct.Struct("<QQQQQQB8s")
 
 
 def key_of(identifier) -> bytes:
@@ -92,7 +92,7 @@ class ShardWriter:
     def _end_block(self) -> None:
         if self.block:
             raw = b"".join(self.block)
-            self.index.append(struct.pack("<H", len(self.first)) + self.first + _INDEX.pack(self.at, len(raw), len(self.block), zlib.crc32(raw)))
+            self.index.append(struct.pack("<I", len(self.first)) + self.first + _INDEX.pack(self.at, len(raw), len(self.block), zlib.crc32(raw)))
             self.out.write(raw)
             self.at += len(raw)
             self.block, self.block_bytes = [], 0
@@ -119,10 +119,10 @@ class ShardReader:
         self.bloom = self.file.read_at(bloom_size, bloom_at)
         self.first, self.blocks, raw, at = [], [], self.file.read_at(index_size, index_at), 0
         while at < len(raw):
-            n = int.from_bytes(raw[at : at + 2], "little")
-            self.first.append(raw[at + 2 : at + 2 + n])
-            self.blocks.append(_INDEX.unpack_from(raw, at + 2 + n))
-            at += 2 + n + _INDEX.size
+            n = int.from_bytes(raw[at : at + 4], "little")
+            self.first.append(raw[at + 4 : at + 4 + n])
+            self.blocks.append(_INDEX.unpack_from(raw, at + 4 + n))
+            at += 4 + n + _INDEX.size
 
     def block(self, i: int) -> list[tuple[bytes, np.ndarray]]:
         offset, size, n, crc = self.blocks[i]
@@ -192,12 +192,9 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
 
     d = narrow(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     n = n_chunks(docs, chunk_bytes=SHARD_TEXT)
-    shards = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(write, SHARDS).collect()  # a row for each shard
-    rows, start = [], 0
-    for r in sorted(shards, key=lambda r: r["shard"]):
-        rows.append((*r, start))
-        start += r["tokens"]
-    return spark.createDataFrame(rows, SHARDS + ", start bigint")
+    shards = stored(d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(write, SHARDS), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row a shard
+    return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def read_shards(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -215,7 +212,7 @@ def read_shards(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([identifier_of(k) for k, _ in entries], pa.string() if id_type == "string" else pa.int64()), "start": pa.array(starts[:-1], pa.int64()), "ids": pa.array([ids.astype("<u4").tobytes() for _, ids in entries], pa.binary())})
                 shard.close()
 
-    n = max(1, shards.count())
+    n = max(1, min(shards.count(), 16 * n_partitions(shards.sparkSession)))
     out = shards.select("uri", "start", "shard").repartition(n, "shard").mapInArrow(read, f"doc_id {'string' if id_type == 'string' else 'bigint'}, start bigint, ids binary")
     return out if id_type in ("string", "bigint") else out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 

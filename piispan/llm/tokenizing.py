@@ -1,10 +1,10 @@
-"""Whole texts to token ids with public tokenizer files, remembering the ids of each word.
+"""Whole texts to token ids with public tokenizer files, remembering the ids of each piece.
 
-Both vocabularies split a text into words before they merge, so ids of a text are those of its
-words in a row, wherever a word's border is certain: the word-BPE drops white space and starts
-anew after it; the byte-BPE starts anew at a single space, or at a single line end, that has
-other than white space on both sides. Texts that have anything less certain, and texts that
-spell a special token, are encoded as a whole.
+Both vocabularies cut a text into pieces (runs of letters, of digits, of other marks, of white space) before
+they merge, and merge each piece by itself, so ids of a text are those of its pieces in a row. Here texts are cut
+by an expression of Python's that gives the same pieces, and each distinct piece goes to the library's merges once. Where the two
+could differ (numbers that are no decimal digits, rarer white space and controls, unassigned
+characters, unnormalised text, texts that spell a special token) the library encodes the whole text.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from __future__ import annotations
 import array
 import os
 import re
-import string
 import sys
 import unicodedata
 from functools import lru_cache
 
-#: Words remembered, and words of letters only; beyond, the older half is forgotten unless it is asked for again.
-MOST_WORDS, MOST_CORES = 160_000, 400_000
-_CLOSING = string.punctuation
+#: Pieces remembered; beyond, the older half is forgotten unless it is asked for again. Longer ones are made each time.
+MOST_PIECES, LONGEST = 900_000, 100
 
 
 def _byte_letters() -> dict[int, int]:
@@ -30,80 +28,70 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_CONTRACTED = "'(?:[sdmt]|ll|ve|re)"
 
 
-class _Words(dict):
-    """Ids of a word, prefix included, as little-endian unsigned 32-bit integers; made when first asked for.
+def _patterns(spaced: bool) -> tuple[re.Pattern, re.Pattern]:
+    """Pieces of Latin-1 texts, and of any texts. With `spaced`, a space belongs to the piece after it and white space
+    is a piece; else white space only parts pieces, and each digit is a piece."""
+    if spaced:
+        latin = rf" [{_LATIN}]+|[{_LATIN}]+|{_CONTRACTED}| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+"
+        other = rf" ?[^\W\d_]+|{_CONTRACTED}| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+    else:
+        latin = rf"[{_LATIN}]+|{_CONTRACTED}|[0-9]|[^ \t\n\r\f0-9{_LATIN}]+"
+        other = rf"[^\W\d_]+|{_CONTRACTED}|\d|(?:[^ \t\n\r\f\w]|_)+"
+    return re.compile(latin), re.compile(other)
 
-    A word of letters with closing punctuation, the common case, is two words to both vocabularies; each goes
-    straight to the library's merges. Anything else goes through the library's whole pipeline.
-    """
 
-    def __init__(self, tokenizer, prefix: str, lower: bool):
-        super().__init__()
-        self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
-        self.lead = prefix.encode().decode("latin-1").translate(_LETTERS)
-        self.merges = tokenizer.model.tokenize
-        self.old, self.cores, self.old_cores, self.tails = {}, {}, {}, {}
-
-    def _core(self, letters: str) -> bytes:
-        """Letters only, in the normal form that the vocabulary wants."""
-        ids = self.old_cores.get(letters)
-        if ids is None:
-            mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
-            ids = array.array("I", [t.id for t in self.merges(self.lead + mapped)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            ids = ids.tobytes()
-        if 2 * len(self.cores) >= MOST_CORES:
-            self.old_cores, self.cores = self.cores, {}
-        self.cores[letters] = ids
-        return ids
+def _odd(c: str) -> bool:
+    """Whether expressions of Python's and the library's may put a character into different classes."""
+    if c.isspace():
+        return c not in " \t\n\r\f"
+    return c in "\x1c\x1d\x1e\x1f" or unicodedata.category(c) in ("No", "Nl", "Cn", "Co", "Cs")
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            letters = word.rstrip(_CLOSING)
-            plain = letters.isalpha() and len(letters) < 100
-            if plain:
-                low = letters.lower() if self.lower else letters
-                if not low.isascii():
-                    plain = low.isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", letters) and unicodedata.is_normalized("NFC", low)
-            if plain:
-                ids = self.cores.get(low) or self._core(low)
-                if len(letters) != len(word):
-                    tail = word[len(letters) :]
-                    ids += self.tails.get(tail) or self._tail(tail)
-            else:
-                ids = packed(self.tokenizer, self.prefix + word)
-        if len(word) < 100:
-            if 2 * len(self) >= MOST_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
 
-    def _tail(self, tail: str) -> bytes:
-        ids = packed(self.tokenizer, tail)
-        if len(self.tails) < 10_000 and len(tail) < 20:
-            self.tails[tail] = ids
-        return ids
+class _Uncertain(Exception):
+    pass
 
 
-def packed(tokenizer, text: str) -> bytes:
-    ids = array.array("I", tokenizer.encode(text, add_special_tokens=False).ids) if text else array.array("I")
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array.array("I", ids)
     if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
+        out.byteswap()
+    return out.tobytes()
 
 
-_BESIDE = ("  ", "\n\n", " \n", "\n ")
-_OTHER_SPACE, _WIDE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f", re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+class _Pieces(dict):
+    """Packed ids of a piece, made when first asked for."""
 
+    def __init__(self, merges):
+        super().__init__()
+        self.merges, self.old = merges, {}
 
-def _uncertain(text: str) -> bool:
-    """A space or line end beside other white space, or any other white space."""
-    return any(x in text for x in _BESIDE) or any(c in text for c in _OTHER_SPACE) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if not piece.isascii():
+                if not piece.strip().isalpha() and any(map(_odd, piece)):
+                    raise _Uncertain
+                mapped = piece.encode().decode("latin-1").translate(_LETTERS)
+            elif piece[0] == " " and piece[1:].isalnum():
+                mapped = "Ġ" + piece[1:]
+            elif piece.isalnum():
+                mapped = piece
+            elif any(map(_odd, piece)):
+                raise _Uncertain
+            else:
+                mapped = piece.translate(_LETTERS)
+            ids = packed([t.id for t in self.merges(mapped)])
+        if len(piece) < LONGEST:
+            if 2 * len(self) >= MOST_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -112,28 +100,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = self.tokenizer.normalizer is not None
+        self.lowers = self.tokenizer.normalizer is not None
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain, self.spaced = (_Words(self.tokenizer, prefix, self.drops_space) for prefix in ("", " "))
-        self.line_end = packed(self.tokenizer, "\n")
+        latin, other = _patterns(spaced=not self.lowers)
+        self.latin, self.other = latin.findall, other.findall
+        self.ids = _Pieces(self.tokenizer.model.tokenize)
+
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null: none."""
         if not text:
             return b""
         if any(s in text for s in self.specials):
-            return packed(self.tokenizer, text)
-        if self.drops_space:
-            return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
-        if _uncertain(text):
-            return packed(self.tokenizer, text)
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(self.plain[first])
-            out.extend(map(self.spaced.__getitem__, rest))
-            out.append(self.line_end)
-        return b"".join(out[:-1])
+            return self.whole(text)
+        pieces, body = self.latin, text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pieces = self.other
+                if self.lowers and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+                    return self.whole(text)
+        if self.lowers:
+            body = text.lower()
+        try:
+            return b"".join(map(self.ids.__getitem__, pieces(body)))
+        except _Uncertain:
+            return self.whole(text)
 
 
 @lru_cache(maxsize=4)

@@ -165,11 +165,16 @@ def stratified_split(gold_docs: DataFrame, gold: DataFrame, test_share: float =
     freq = per_type.groupBy(F.col("type").alias("f_type")).agg(F.count("*").alias("freq"))
     rarest = per_type.join(freq, F.col("type") == F.col("f_type")).groupBy(F.col("doc_id").alias("r_doc")).agg(F.min_by("type", F.struct("freq", "type")).alias("stratum"))
     d = gold_docs.select("doc_id").join(rarest, F.col("doc_id") == F.col("r_doc"), "left").select("doc_id", F.coalesce("stratum", F.lit("NONE")).alias("stratum"))
-    draw = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))
-    size = F.count("*").over(Window.partitionBy("stratum"))
-    nth = F.row_number().over(Window.partitionBy("stratum").orderBy(draw, "doc_id"))
+    # ranks in two levels, since one stratum may hold nearly all documents: within a range of draws, after all lesser ranges
+    d = d.withColumn("draw", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))).withColumn("part", F.substring("draw", 1, 3))
+    sizes = d.groupBy("stratum", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = sizes.select(F.col("stratum").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("size"))
+    near = F.row_number().over(Window.partitionBy("stratum", "part").orderBy("draw", "doc_id"))
+    ranked = d.withColumn("near", near).join(parts, (F.col("stratum") == F.col("s")) & (F.col("part") == F.col("p")))
+    size = F.col("size")
     n_test = F.when(size > 1, F.least(F.greatest(F.lit(1), F.round(size * test_share)), size - 1)).otherwise(1)
-    return d.select("doc_id", "stratum", (nth <= n_test).alias("is_test"))
+    return ranked.select("doc_id", "stratum", (F.col("before") + F.col("near") <= n_test).alias("is_test"))
 
 
 def detection_rates(found: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from piispan.operators import detect as D
 from piispan.plans import api
 from piispan.queries.sqltext import spans_cte
 from piispan.schema import DEFAULT_LABEL, LABELS, TYPES
+from piispan.sources.shared import fresh_path
 from piispan.sources.tables import table
 
 
@@ -53,7 +52,8 @@ def _redacted(strategy):
 
 
 def _conversation(doc_id):
-    return F.concat(F.lit("c"), (doc_id % 50).cast("string"))
+    """Twenty documents are a conversation, so conversations are as many as the corpus has, and none is larger."""
+    return F.concat(F.lit("c"), F.floor(doc_id / 20).cast("string"))
 
 
 def _aliases(spark: SparkSession, d: str, unique: bool = False) -> DataFrame:
@@ -120,29 +120,25 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", F.col("risk.detected_count").cast("long").alias("n_entities"), F.col("risk.score").alias("score"), F.col("risk.level").alias("level"), "blocked", "block_reason", "redacted")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/piispan-streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_restore(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut into small chunks, streamed with state, and put together again: whether each conversation's text is restored."""
+    """Whole texts cut into small chunks, streamed with state over several batches, and put together again: whether each is restored."""
     from piispan.streaming.restore import restored_stream
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("conversation_id"), F.left(F.concat(F.lit("Dear Janette, ask Michael about "), "text"), F.lit(120)).alias("text"))
-    n = F.ceil(F.length("text") / 7).cast("int")
-    tokens = docs.select("conversation_id", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("text", (i - 1) * 7 + 1, F.lit(7)))).alias("seq", "chunk"), n.alias("n"))
+    size = 24
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("conversation_id"), F.concat(F.lit("Dear Janette, ask Michael about "), F.coalesce("text", F.lit("")), F.lit(" Janet")).alias("text"))
+    n = F.ceil(F.length("text") / size).cast("int")
+    tokens = docs.select("conversation_id", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("text", (i - 1) * size + 1, F.lit(size)))).alias("seq", "chunk"), n.alias("n"))
     tokens = tokens.select("conversation_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"))
-    source, sink, state = _scratch(spark, "tokens"), _scratch(spark, "restored"), _scratch(spark, "state")
-    tokens.write.parquet(source)
+    source, sink, state = (fresh_path(spark, x) for x in ("tokens", "restored", "state"))
+    tokens.repartition(12, "conversation_id", "seq").write.parquet(source)  # chunks of a text come in several files, out of order
     aliases = docs.select("conversation_id", F.explode(F.array(F.struct(F.lit("Zoé Q").alias("original"), F.lit("Janette").alias("alias")), F.struct(F.lit("Bob").alias("original"), F.lit("Michael").alias("alias")))).alias("a"), F.lit(1).cast("long").alias("seq")).select("conversation_id", "a.*", "seq")
-    stream = restored_stream(spark.readStream.schema(tokens.schema).parquet(source), aliases)
+    stream = restored_stream(spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 6).parquet(source), aliases, timeout_ms=None)
     q = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(sink)
     q.awaitTermination()
     out = spark.read.schema("conversation_id string, seq bigint, chunk string").parquet(sink)
     whole = out.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c")).select(F.col("conversation_id").alias("c_id"), F.array_join(F.transform("c", lambda x: x["chunk"]), "").alias("restored"))
     want = F.replace(F.replace("text", F.lit("Janette"), F.lit("Zoé Q")), F.lit("Michael"), F.lit("Bob"))
-    return docs.join(whole, F.col("conversation_id") == F.col("c_id"), "left").select("conversation_id", (F.col("restored") == want).alias("restored_whole"))
+    return docs.join(whole, F.col("conversation_id") == F.col("c_id"), "left").select("conversation_id", F.coalesce(F.col("restored") == want, F.lit(False)).alias("restored_whole"))
 
 
 def stream_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +146,7 @@ def stream_filter(spark: SparkSession, d: str) -> DataFrame:
     from piispan.streaming.restore import filter_events, filtered_stream
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    source, sink, state = _scratch(spark, "docs"), _scratch(spark, "filtered"), _scratch(spark, "state")
+    source, sink, state = (fresh_path(spark, x) for x in ("docs", "filtered", "state"))
     docs.write.parquet(source)
     stream = filter_events(filtered_stream(spark.readStream.schema(docs.schema).parquet(source)))
     q = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(sink)
@@ -191,7 +187,7 @@ def _alias_sql(v: str, context: str = "''") -> str:
 
 
 _LABEL = "CASE entity_type " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in LABELS.items() if x != DEFAULT_LABEL) + f" ELSE '{DEFAULT_LABEL}' END"
-_ALIASES = f"""{_S}, conv AS (SELECT 'c' || (doc_id % 50) AS conversation_id, value, entity_type, doc_id * 100000 + span_id AS seq FROM spans),
+_ALIASES = f"""{_S}, conv AS (SELECT 'c' || (doc_id // 20) AS conversation_id, value, entity_type, doc_id * 100000 + span_id AS seq FROM spans),
 al AS (SELECT conversation_id, value AS original, arg_min(entity_type, (seq, entity_type)) AS entity_type, min(seq) AS seq FROM conv GROUP BY 1, 2),
 aliases AS (SELECT *, {_alias_sql("original", "conversation_id")} AS alias FROM al)"""
 _NAMES = "CASE c_custkey % 3 WHEN 0 THEN 'Person' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') WHEN 1 THEN 'Acme ' || upper(translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij')[1]) || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij')[2:] ELSE c_custkey || ' Main Street' END"

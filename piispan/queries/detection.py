@@ -99,8 +99,8 @@ def private_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def luhn_structural_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Digit runs that pass the check and that no card span covers (cards limited to 16 digits here)."""
-    docs = table(spark, d, "documents")
+    """Digit runs that pass the check and that no card span covers (cards limited to 16 digits here), in texts made of customers' numbers."""
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("paid "), _digits("c_custkey"), F.lit(" and "), F.reverse(_digits("c_custkey")), F.lit(" now")).alias("text"))
     runs = D.exploded(D.native_spans(docs, ("CREDIT_CARD",)))
     known = runs.filter(F.length("value") == 16).select(F.col("doc_id").alias("k_doc"), F.col("start").alias("k_start"), F.col("end").alias("k_end"))
     out = runs.join(known, (F.col("doc_id") == F.col("k_doc")) & (F.col("start") < F.col("k_end")) & (F.col("k_start") < F.col("end")), "left_anti")
@@ -156,7 +156,7 @@ CAST(CASE WHEN NOT fits THEN 0.0 WHEN ok AND brand IS NOT NULL THEN 0.95 WHEN ok
     "decimal_ip_validate": f"SELECT c_custkey, length(CAST(c_custkey * 3000017 AS VARCHAR)) BETWEEN 8 AND 10 AND c_custkey * 3000017 BETWEEN {checks.LEAST_IP} AND {checks.GREATEST_IP} AS is_ip FROM customer",
     "gps_validate": "WITH n AS (SELECT c_custkey, (c_custkey % 120) || '.' || lpad(CAST(c_custkey * 31 % 10000 AS VARCHAR), 4, '0') || CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE ', ' END || (c_custkey % 200) || '.25' AS text FROM customer) SELECT c_custkey, text, c_custkey % 5 <> 0 AND c_custkey % 120 + (c_custkey * 31 % 10000) / 10000.0 <= 90 AND c_custkey % 200 + 0.25 <= 180 AS is_gps FROM n",
     "private_url": "WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://10.0.0.' || (page_id % 250) || '/x' WHEN 1 THEN 'https://intranet/wiki' ELSE url END AS link FROM pages) SELECT page_id, link, page_id % 4 < 2 AS is_private FROM n",
-    "luhn_structural_recall": f"{_S}, r AS (SELECT * FROM spans WHERE entity_type = 'CREDIT_CARD') SELECT doc_id, value, s AS span_start FROM r WHERE NOT EXISTS (SELECT 1 FROM r k WHERE k.doc_id = r.doc_id AND length(k.value) = 16 AND r.s < k.e AND k.s < r.e)",
+    "luhn_structural_recall": f"WITH made AS (SELECT c_custkey AS doc_id, 'paid ' || {_DIGITS_SQL} || ' and ' || reverse({_DIGITS_SQL}) || ' now' AS text FROM customer), {spans_cte('made')}, r AS (SELECT * FROM spans WHERE entity_type = 'CREDIT_CARD') SELECT doc_id, value, s AS span_start FROM r WHERE NOT EXISTS (SELECT 1 FROM r k WHERE k.doc_id = r.doc_id AND length(k.value) = 16 AND r.s < k.e AND k.s < r.e)",
     "context_keyword_features": f"{_S}, words(entity_type, i, w) AS (VALUES {_WORD_ROWS}), x AS (SELECT spans.*, lower(substr(text, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0))) AS l FROM spans JOIN documents USING (doc_id)) SELECT doc_id, x.entity_type, s AS span_start, coalesce(string_agg(w, ',' ORDER BY i) FILTER (contains(l, w)), '') AS keywords FROM x JOIN words ON words.entity_type = x.entity_type GROUP BY doc_id, x.entity_type, s, e",
     "page_pii": "WITH src AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '&#64;', '@', 'g'), '&#46;', '.', 'g') AS text FROM pages), " + spans_cte("src", "page_id") + " SELECT src.page_id, CAST(count(spans.s) AS BIGINT) AS n_spans, CAST(length(any_value(text)) AS BIGINT) AS n_chars FROM src LEFT JOIN spans ON src.page_id = spans.page_id GROUP BY 1",
 }

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -17,8 +18,8 @@ from piispan.operators import act, aliasing, arbitrate, detect, evaluate, interv
 from piispan.plans import api
 from piispan.plans.registry import Registry, default_registry, model_detector
 from piispan.schema import POINTS, TYPE_NAMES
-from piispan.sources import config, tables
-from piispan.streaming.restore import feed
+from piispan.sources import config, shared, tables
+from piispan.streaming import restore
 
 RELAXED = settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
 TEXTS = st.text(alphabet=st.sampled_from(list("ab1290.-@ ()+:/\\x%u&#;[]_'\"\n|Éß４½ⅷZayoneAT•X*")), max_size=80)
@@ -237,15 +238,67 @@ def test_streamed_restoring_equals_batch(parts, size, seed):
         name, original = next(((a, o) for a, o in ALIASES if text.startswith(a, i)), (text[i], text[i]))
         want.append(original)
         i += len(name)
-    held, out, i = "", [], 0
+    held, out, i, matcher = "", [], 0, restore.Matcher(ALIASES)
     while i < len(text):
         n = rng.randint(1, size)
-        emitted, held = feed(held, text[i : i + n], ALIASES, last=i + n >= len(text))
+        emitted, held = matcher.feed(held, text[i : i + n], last=i + n >= len(text))
         out.append(emitted)
         i += n
     assert "".join(out) == "".join(want) and held == ""
 
 
+class _State:
+    """What a stateful step needs of a group's state."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def _steps(state, rows, timeout_ms=5):
+    frames = iter([pd.DataFrame(rows, columns=["seq", "chunk", "last", "aliases"])])
+    return [tuple(r) for f in restore._advance(timeout_ms, ("c",), frames, state) for r in f.itertuples(index=False)]
+
+
+def test_held_text_goes_out_with_the_last_chunk_or_after_a_timeout():
+    names = json.dumps({"Ann Lee": "Two", "Ann": "One"})
+    state = _State()
+    assert _steps(state, [(1, "Ann", False, names)]) == [] and state.timeout == 5  # chunk 0 is missing
+    assert _steps(state, [(0, "to ", False, names)]) == [("c", 0, "to "), ("c", 1, "")]
+    assert _steps(state, [(2, " L", True, names)]) == [("c", 2, "One L")] and not state.exists
+    _steps(state, [(0, "x Ann", False, names)], None)
+    state.hasTimedOut = True
+    assert _steps(state, []) == [("c", 1, "One")] and not state.exists
+
+
+def test_events_of_streams(spark):
+    chunks = spark.createDataFrame([("c", 0, "a", False, None), ("c", 1, "b", True, None), ("d", 0, None, False, "Timeout")], "conversation_id string, seq bigint, chunk string, last boolean, error string")
+    got = sorted((r["conversation_id"], r["index"], r["event"], r["data"] or "") for r in restore.chunk_events(chunks).collect())
+    assert got == [("c", 0, "chunk", "a"), ("c", 1, "chunk", "b"), ("c", 1, "done", ""), ("d", 0, "error", "Timeout")]
+    docs = spark.createDataFrame([(1, True, "why", None, None), (2, False, None, "x", None), (3, None, None, None, "E")], "doc_id long, blocked boolean, block_reason string, redacted string, error string")
+    assert sorted((r["doc_id"], r["nth"], r["event"]) for r in restore.filter_events(docs).collect()) == [(1, 0, "blocked"), (1, 1, "done"), (2, 0, "filtered"), (2, 1, "done"), (3, 0, "error")]
+
+
+def test_folders_are_shared_on_clusters():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://x"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
+
+
 @pytest.mark.parametrize(("number", "ok"), [("4111111111111111", True), ("4111111111111112", False), ("", False), ("378282246310005", True), ("0", True), ("79927398713", True)])
 def test_luhn(number, ok):
     assert checks.luhn(number) is ok

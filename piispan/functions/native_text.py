@@ -10,11 +10,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from piispan.functions.normalize import AT_DOT, FRACTIONS, HOMOGLYPH_DIGITS, SPOKEN_DIGITS
+from piispan.functions.normalize import AT_DOT, FRACTIONS, HOMOGLYPH_DIGITS, ROT_MARK, SPOKEN_DIGITS, grouped
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Patterns and replacements of digit groups: social security numbers, cards of 16 and of 15 digits.
+SEGMENT_STEPS = ((grouped((3, 2, 4), r"[\s_]"), "$1-$2-$3"), (grouped((4, 4, 4, 4), r"[_.\s-]"), "$1 $2 $3 $4"), (grouped((4, 6, 5), r"[_.\s-]"), "$1 $2 $3"))
+
+
 def _sub(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
 
@@ -56,10 +60,7 @@ def removed(c: Column) -> Column:
 
 
 def segments(c: Column) -> Column:
-    return _sub(
-        c, (r"\b([0-9]{3})[\s_]+([0-9]{2})[\s_]+([0-9]{4})\b", "$1-$2-$3"), (r"\b([0-9]{4})[_.\s-]+([0-9]{4})[_.\s-]+([0-9]{4})[_.\s-]+([0-9]{4})\b", "$1 $2 $3 $4"),
-        (r"\b([0-9]{4})[_.\s-]+([0-9]{6})[_.\s-]+([0-9]{5})\b", "$1 $2 $3"),
-    )
+    return _sub(c, *SEGMENT_STEPS)
 
 
 def without_inner_separators(c: Column) -> Column:
@@ -68,7 +69,7 @@ def without_inner_separators(c: Column) -> Column:
 
 def rot13(c: Column) -> Column:
     turned = F.translate(c, _LOWER + _UPPER, _LOWER[13:] + _LOWER[:13] + _UPPER[13:] + _UPPER[:13])
-    return F.when(c.rlike(r"\b(?:(?:ROT|rot|Rot)[- ]?13|caesar|cipher)\b"), turned).otherwise(c)
+    return F.when(c.rlike(ROT_MARK), turned).otherwise(c)
 
 
 def private_url(url: Column) -> Column:

@@ -17,6 +17,7 @@ from piispan.functions import checks
 from piispan.functions import detector as D
 from piispan.functions.native_text import spans_of
 from piispan.schema import SPAN_FIELDS, SPANS
+from piispan.sources.spread import spread
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: type, score, pattern in the dialect that Java and RE2 share
@@ -40,6 +41,7 @@ def _native_kind(kind: str, score: float, pattern: str) -> Column:
 
 def native_spans(docs: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """`docs` with `spans`: array of (entity_type, value, start, end, score, detector), by start."""
+    docs = spread(docs)
     found = F.concat(*[_native_kind(*n) for n in NATIVE if types is None or n[0] in types])
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("t"), s.alias("span"))))
     return docs.withColumn("spans", F.coalesce(F.transform(ordered, lambda k: k["span"]), F.expr("cast(array() as array<struct<entity_type:string,value:string,start:int,end:int,score:double,detector:string>>)")))
@@ -47,17 +49,17 @@ def native_spans(docs: DataFrame, types: tuple[str, ...] | None = None) -> DataF
 
 def exploded(docs: DataFrame, *keys: str) -> DataFrame:
     """A row for each span: keys, span_id, the span's fields."""
-    return docs.select(*(keys or ("doc_id",)), F.posexplode("spans").alias("span_id", "span")).select(*(keys or ("doc_id",)), "span_id", "span.*")
+    # an inner explode would infer a filter on the spans and compute them twice, once below a repartition
+    rows = docs.select(*(keys or ("doc_id",)), F.posexplode_outer("spans").alias("span_id", "span")).filter("span_id is not null")
+    return rows.select(*(keys or ("doc_id",)), "span_id", "span.*")
 
 
 _STRUCT = pa.struct([("entity_type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("o_start", pa.int32()), ("o_end", pa.int32()), ("score", pa.float64()), ("detector", pa.string()), ("view", pa.string()), ("pattern", pa.string()), ("checksum_valid", pa.bool_()), ("context_keywords", pa.list_(pa.string())), ("format_class", pa.string())])
 
 
-def detect(docs: DataFrame, options: D.Options = D.Options(), key: str = "doc_id", text: str = "text", parallel: int | None = None) -> DataFrame:  # noqa: B008
-    """key, spans, error for each row. `parallel` deals rows anew where files are few and texts uneven."""
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    if parallel:
-        d = d.repartition(parallel)
+def detect(docs: DataFrame, options: D.Options = D.Options(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
+    """key, spans, error for each row."""
+    d = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

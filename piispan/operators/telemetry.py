@@ -43,7 +43,7 @@ def latency(calls: DataFrame, column: str = "elapsed", size: str | None = None)
 
 def corpus_report(docs: DataFrame) -> DataFrame:
     """By type: documents with it, hits, mean and least score. `docs`: doc_id, spans."""
-    s = docs.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.entity_type", "s.score")
+    s = docs.select("doc_id", F.explode_outer("spans").alias("s")).filter("s is not null").select("doc_id", "s.entity_type", "s.score")
     return s.groupBy("entity_type").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_hits"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"))
 
 

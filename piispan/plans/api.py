@@ -53,7 +53,7 @@ def health(spark: SparkSession) -> dict:
 
 def alias_spans(filtered: DataFrame, conversation: str = "conversation_id") -> DataFrame:
     """conversation_id, value, entity_type, seq of all spans, for the alias table."""
-    s = filtered.select(F.col(conversation).cast("string").alias("conversation_id"), F.col("doc_id").alias("__d"), F.posexplode("spans").alias("i", "s"))
+    s = filtered.select(F.col(conversation).cast("string").alias("conversation_id"), F.col("doc_id").alias("__d"), F.posexplode_outer("spans").alias("i", "s")).filter("i is not null")
     return s.select("conversation_id", "s.value", "s.entity_type", (F.col("__d").cast("long") * 100_000 + F.col("i")).alias("seq"))
 
 

@@ -117,8 +117,8 @@ def context_keyword_features(spark: SparkSession, d: str) -> DataFrame:
             out = F.when(s["entity_type"] == kind, hits) if out is None else out.when(s["entity_type"] == kind, hits)
         return out
 
-    rows = docs.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), keywords(s).alias("keywords")))).alias("r"))
-    return rows.select("doc_id", "r.entity_type", F.col("r.start").cast("long").alias("span_start"), "r.keywords")
+    rows = docs.select("doc_id", F.explode_outer(F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), keywords(s).alias("keywords")))).alias("r"))
+    return rows.filter("r is not null").select("doc_id", "r.entity_type", F.col("r.start").cast("long").alias("span_start"), "r.keywords")
 
 
 def page_pii(spark: SparkSession, d: str) -> DataFrame:

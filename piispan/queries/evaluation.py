@@ -37,7 +37,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         "value", (F.col("start") + F.when(F.col("m") == 1, 2).otherwise(0)).alias("start"), (F.col("end") + F.when(F.col("m") == 1, 2).when(F.col("m") == 5, 30).otherwise(0)).alias("end"), "score",
     )
     two = F.when(F.col("m") == 6, F.struct((2 * F.col("k") + 1).alias("pred_id"), F.col("entity_type").alias("entity_type"), F.lit("zzz").alias("value"), (F.col("end") + 100).alias("start"), (F.col("end") + 110).alias("end"), F.lit(0.45).alias("score")))
-    return kept.select("doc_id", F.explode(F.filter(F.array(one, two), lambda x: x.isNotNull())).alias("p")).select("doc_id", "p.*")
+    return kept.select("doc_id", F.explode_outer(F.filter(F.array(one, two), lambda x: x.isNotNull())).alias("p")).filter("p is not null").select("doc_id", "p.*")
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +160,7 @@ def adversarial_detection(spark: SparkSession, d: str) -> DataFrame:
     from piispan.functions.detector import Options
 
     docs = fixtures.adversarial(spark, 10)
-    hit = lambda o, name: D.detect(docs, o, parallel=8).select(F.col("doc_id").alias(f"{name}_doc"), F.transform("spans", lambda s: s["entity_type"]).alias(f"{name}_types"))
+    hit = lambda o, name: D.detect(docs, o).select(F.col("doc_id").alias(f"{name}_doc"), F.transform("spans", lambda s: s["entity_type"]).alias(f"{name}_types"))
     j = docs.join(hit(Options(normalized_views=False), "raw"), F.col("doc_id") == F.col("raw_doc")).join(hit(Options(), "full"), F.col("doc_id") == F.col("full_doc"))
     found = j.select("category", *[F.exists(f"{n}_types", lambda t: (t == F.col("type")) | (t == F.concat(F.lit("MASKED_"), F.col("type")))).alias(f"{n}_hit") for n in ("raw", "full")])
     return V.detection_rates(found)
@@ -169,7 +169,7 @@ def adversarial_detection(spark: SparkSession, d: str) -> DataFrame:
 def labelled_detection(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the whole detector on made examples."""
     docs, g = fixtures.labelled(spark, 20)
-    found = D.span_view(docs.join(D.detect(docs, parallel=8).withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d")))
+    found = D.span_view(docs.join(D.detect(docs).withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d")))
     return V.metrics(V.counts(g, D.exploded(found).withColumnRenamed("span_id", "pred_id")))
 
 

@@ -12,6 +12,7 @@ from piispan.functions import native_text as N
 from piispan.functions.normalize import AT_DOT, FRACTIONS, SPOKEN_DIGITS, normalize
 from piispan.operators.telemetry import transform_counts
 from piispan.queries.sqltext import substituted
+from piispan.sources.spread import spread
 from piispan.sources.tables import table
 
 
@@ -59,7 +60,6 @@ def _at_dot_steps() -> list[tuple[str, str]]:
 
 _URL_STEPS = [(r"(?i)\bhxxps://", "https://"), (r"(?i)\bhxxp://", "http://"), (r"\b(https?)\s*:\s*//", "$1://"), (r"\b(https?://)\s+", "$1")]
 _SPOKEN_STEPS = [(rf"(?i)\b{w}\b", x) for w, x in SPOKEN_DIGITS.items()] + [(r"(?i)\b(?:hyphen|dash)\b", "-"), (r"(?i)\b(?:point|dot)\b", ".")]
-_SEGMENT_STEPS = [(r"\b([0-9]{3})[\s_]+([0-9]{2})[\s_]+([0-9]{4})\b", "$1-$2-$3"), (r"\b([0-9]{4})[_.\s-]+([0-9]{4})[_.\s-]+([0-9]{4})[_.\s-]+([0-9]{4})\b", "$1 $2 $3 $4"), (r"\b([0-9]{4})[_.\s-]+([0-9]{6})[_.\s-]+([0-9]{5})\b", "$1 $2 $3")]
 #: Java looks ahead; here a pair of digits is joined at a time, and twice is enough.
 _STRIP_STEPS = [(r"([0-9])[^\p{L}\p{N}_\n]+([0-9])", "$1$2")] * 2
 
@@ -72,7 +72,7 @@ def norm_full(spark: SparkSession, d: str) -> DataFrame:
             out = [normalize(t or "") for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([n.cleaned.text for n in out]), pa.array([n.log for n in out], pa.list_(pa.string()))], names=["doc_id", "cleaned", "transforms"])
 
-    docs = table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, cleaned string, transforms array<string>")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, cleaned string, transforms array<string>")
     return docs.select("doc_id", F.md5("cleaned").alias("digest"), F.length("cleaned").alias("n_chars"), "transforms")
 
 
@@ -81,8 +81,6 @@ def norm_transform_counts(spark: SparkSession, d: str) -> DataFrame:
     return transform_counts(log)
 
 
-
-
 QUERIES = {
     "norm_at_dot": _crafted(_joined(*AT), N.at_dot),
     "norm_protocol": _crafted(_joined(*URLS), N.url_protocol),
@@ -115,7 +113,7 @@ SQL = {
     "norm_protocol": _sql(substituted(f"({_sql_joined(*URLS)})", *_URL_STEPS)),
     "norm_spoken": _sql(substituted(f"({_sql_joined(*SPOKEN)})", *_SPOKEN_STEPS)),
     "norm_strip_seps": _sql(substituted(f"({_sql_joined(*SEPARATED)})", *_STRIP_STEPS)),
-    "norm_segments": _sql(substituted(f"({_sql_joined(*SEGMENTS)})", *_SEGMENT_STEPS)),
+    "norm_segments": _sql(substituted(f"({_sql_joined(*SEGMENTS)})", *N.SEGMENT_STEPS)),
     "norm_translate": _sql(f"translate({_sql_joined(*TRANSLATED)}, 'ӦӧЅѕЗз–—{_WIDE}', '556633--{_NARROW}')"),
     "norm_removed": _sql(substituted(f"({_sql_joined(*REMOVED)})", (r"<!--.*?-->", ""), ("[​‌‍﻿­゠-ヿ･-ﾟ]", ""))),
     "norm_fractions": _sql(_fractions),

@@ -39,7 +39,7 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = D.exploded(D.native_spans(docs)).select("doc_id", "entity_type", F.col("start").alias("s"), F.col("end").alias("e"), "score", (F.instr("value", "@") - 1).alias("pos"))
     own = F.struct("entity_type", F.col("s").alias("start"), F.col("e").alias("end"), "score", F.lit("regex").alias("detector"))
     more = [F.when(F.col("entity_type") == of, F.struct(F.lit(t).alias("entity_type"), F.expr(f"cast({a} as int)").alias("start"), F.expr(f"cast({b} as int)").alias("end"), F.lit(x).alias("score"), F.lit(who).alias("detector"))) for of, t, a, b, x, who in DERIVED]
-    rows = s.select("doc_id", F.explode(F.filter(F.array(own, *more), lambda x: x.isNotNull())).alias("c")).select("doc_id", "c.*")
+    rows = s.select("doc_id", F.explode_outer(F.filter(F.array(own, *more), lambda x: x.isNotNull())).alias("c")).filter("c is not null").select("doc_id", "c.*")
     return docs, rows.filter("end > start")
 
 
@@ -77,14 +77,14 @@ def span_type_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def arbitrated(spark: SparkSession, d: str) -> DataFrame:
     docs, c = candidates(spark, d)
-    a = R.arbitrated(docs, c).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.entity_type", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.round("s.confidence", 6).alias("confidence"))
+    a = R.arbitrated(docs, c).select("doc_id", F.explode_outer("spans").alias("s")).filter("s is not null").select("doc_id", "s.entity_type", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), F.round("s.confidence", 6).alias("confidence"))
     return a
 
 
 def arbitrated_without_cities(spark: SparkSession, d: str) -> DataFrame:
     docs, c = candidates(spark, d)
     a = R.arbitrated(docs, c, R.Config(enable_city=False, calibrated=False, min_cluster_confidence=0.5, strict_overlap=True))
-    return a.select("doc_id", F.explode("spans").alias("s")).groupBy("s.entity_type").agg(F.count("*").alias("n"), F.round(F.avg("s.confidence"), 6).alias("mean_confidence"))
+    return a.select("doc_id", F.explode_outer("spans").alias("s")).filter("s is not null").groupBy("s.entity_type").agg(F.count("*").alias("n"), F.round(F.avg("s.confidence"), 6).alias("mean_confidence"))
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +97,12 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline_merge(spark: SparkSession, d: str) -> DataFrame:
     m = merge.merged(_nested(spark, d), max_merge=False)
-    return _named(m.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*"))
+    return _named(m.select("doc_id", F.explode_outer("spans").alias("s")).filter("s is not null").select("doc_id", "s.*"))
 
 
 def max_merge(spark: SparkSession, d: str) -> DataFrame:
     m = merge.merged(_nested(spark, d), max_merge=True)
-    return _named(m.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*"))
+    return _named(m.select("doc_id", F.explode_outer("spans").alias("s")).filter("s is not null").select("doc_id", "s.*"))
 
 
 def proximity_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ A completion's mask is a list of character ranges [start, end) of the texts (wit
 the roles that are learned; headers and other roles are masked out.
 
 All in DataFrame expressions: turns are gathered for each conversation (a conversation is one training
-example, bounded by the turns it has), pairs meet by an equi-join of their keys.
+example, so it has to fit a row; a row holds 2 GB at most), labelled pairs meet by equi-joins of their keys.
 
 Defined results: null roles and texts count as empty strings; turns are ordered by turn number, ties by
 role and text, repeated rows are turns of their own; a side without turns has an empty completion; equal sides have the
@@ -70,13 +70,27 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
     )
 
 
-def neighbours_paired(turns: DataFrame) -> DataFrame:
-    """Pairs of a table without preference labels: conversation 2k is chosen over 2k + 1; a missing side is empty."""
-    g = gathered(turns).select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.pmod(F.col("conv_id"), F.lit(2)).alias("side"), _content(F.col("turns")).alias("turns"))
+def cut_replies(turns: DataFrame) -> DataFrame:
+    """Pairs of a table without preference labels: a conversation is chosen over itself with its last learned reply broken off half-way."""
+    learned = lambda t: t["role"].isin(*LEARNED_ROLES)
+    g = gathered(turns).withColumn("last", F.array_max(F.transform("turns", lambda t, i: F.when(learned(t), i))))
+    half = lambda t: F.struct(t["role"].alias("role"), F.left(t["text"], F.floor(F.length(t["text"]) / 2).cast("int")).alias("text"))
+    whole = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    rejected = F.transform("turns", lambda t, i: F.when(i == F.col("last"), half(t)).otherwise(whole(t)))
+    return g.select(F.col("conv_id").alias("pair_id"), _content(F.col("turns")).alias("chosen"), rejected.alias("rejected"))
+
+
+def labelled_pairs(turns: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs by a table of labels (pair_id, chosen_id, rejected_id: conversations); a side without turns is empty."""
+    g = gathered(turns).select("conv_id", _content(F.col("turns")).alias("t"))
     none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
-    side = lambda i: F.coalesce(F.max(F.when(F.col("side") == i, F.col("turns"))), none)
-    return g.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    p = narrow(labels, "pair_id", "chosen_id", "rejected_id")
+    for side in ("chosen", "rejected"):
+        one = g.select(F.col("conv_id").alias("c"), F.col("t").alias(side))
+        p = p.join(one, F.col(f"{side}_id") == F.col("c"), "left").drop("c").withColumn(side, F.coalesce(side, none))
+    return p.select("pair_id", "chosen", "rejected")
 
 
-def format_preferences(turns: DataFrame) -> DataFrame:
-    return preference_rows(neighbours_paired(turns))
+def format_preferences(turns: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Prompts and completions of the labelled pairs, or, without labels, of conversations against their broken-off selves."""
+    return preference_rows(cut_replies(turns) if labels is None else labelled_pairs(turns, labels))

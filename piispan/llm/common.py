@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piispan.sources.shared import fresh_path, shared_dir
+
 #: Text that one task holds at a time; bounds the Python workers' memory.
 CHUNK_BYTES = 8 << 20
 
@@ -18,23 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
-
-    Only a session without that setting (tests, local mode) gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="piispan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)

@@ -66,10 +66,8 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_decontamination, op5_ngram_perplexity, op6_simhash, op7_secret_scan, op8_toxicity, op9_html_extraction, op10_sorted_string_tables)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -87,17 +85,16 @@ FROM d LEFT JOIN kept USING (row_id)
 """
 
 _OP2 = """
-WITH t AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT conv_id AS pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
            FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS body FROM t),
-ids AS (SELECT DISTINCT pair_id FROM t),
-len AS (SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM t GROUP BY 1),
-other AS (SELECT a.pair_id, min(a.i) AS i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1 AND a.i = b.i
-          WHERE a.role <> b.role OR a.text <> b.text GROUP BY 1),
-p AS (SELECT len.pair_id, coalesce(other.i - 1, least(n0, n1)) AS n FROM len LEFT JOIN other USING (pair_id)),
-s AS (SELECT r.*, p.n, sum(length(body)) OVER (PARTITION BY conv_id ORDER BY r.i) - length(body) AS pos
-      FROM r JOIN p USING (pair_id) WHERE r.i > p.n),
+final AS (SELECT pair_id, max(i) FILTER (role = 'assistant') AS last, count(*) AS turns FROM t GROUP BY 1),
+two AS (SELECT pair_id, 0 AS side, role, text, i, last FROM t JOIN final USING (pair_id)
+         UNION ALL SELECT pair_id, 1, role, CASE WHEN i = last THEN substr(text, 1, length(text) // 2) ELSE text END, i, last FROM t JOIN final USING (pair_id)),
+r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS body FROM two),
+p AS (SELECT f.pair_id, coalesce(min(CASE WHEN a.text <> b.text THEN a.i END) - 1, any_value(turns)) AS n FROM final f
+      JOIN two a ON a.pair_id = f.pair_id AND a.side = 0 JOIN two b ON b.pair_id = a.pair_id AND b.i = a.i AND b.side = 1 GROUP BY 1),
+s AS (SELECT r.*, p.n, sum(length(body)) OVER (PARTITION BY r.pair_id, side ORDER BY r.i) - length(body) AS pos FROM r JOIN p USING (pair_id) WHERE r.i > p.n),
 side AS (SELECT pair_id, side, string_agg(body, '' ORDER BY i) AS body,
                 string_agg(CASE WHEN role = 'assistant' THEN (pos + length(role) + 5)::BIGINT || '-' || (pos + length(body))::BIGINT END, ',' ORDER BY i) AS mask
          FROM s GROUP BY 1, 2),
@@ -111,9 +108,4 @@ LEFT JOIN (SELECT * FROM side WHERE side = 1) j ON j.pair_id = p.pair_id
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    out = {"op1_substring_dedup": _OP1, "op2_chat_formatting": _OP2}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return out
+    return {"op1_substring_dedup": _OP1, "op2_chat_formatting": _OP2}

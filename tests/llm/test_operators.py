@@ -598,13 +598,24 @@ def test_shards_of_null_negative_and_repeated_ids(spark):
 def test_preferences(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, 0, "user", "s"), (3, 0, "user", "s"), (4, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id bigint, turn bigint, role string, text string, turns string")
-    got = {r["pair_id"]: r for r in chat_format.format_preferences(df).collect()}
-    assert set(got) == {0, 1, 2}
-    r = got[0]
+    labels = spark.createDataFrame([(10, 0, 1), (11, 2, 3), (12, 4, 9), (13, 7, 8), (None, None, 1)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(df, labels).collect()}
+    assert set(got) == {10, 11, 12, 13, None}
+    r = got[10]
     assert r["n_prompt_turns"] == 1 and r["prompt"] == "<|user|>\nq<|end|>\n" and r["rejected"] == "<|assistant|>\nb<|end|>\n"
     assert [r["chosen"][m["start"] : m["end"]] for m in r["chosen_mask"]] == ["a<|end|>\n"]
-    assert got[1]["prompt"] == "<|user|>\ns<|end|>\n" and got[1]["chosen"] == "" and got[1]["chosen_mask"] == []
-    assert got[2]["rejected"] == "" and got[2]["chosen"] == "<||>\n<|end|>\n"
+    assert got[11]["prompt"] == "<|user|>\ns<|end|>\n" and got[11]["chosen"] == "" and got[11]["chosen_mask"] == []
+    assert got[12]["rejected"] == "" and got[12]["chosen"] == "<||>\n<|end|>\n"
+    assert got[13]["n_prompt_turns"] == 0 and got[13]["prompt"] == "" and got[None]["rejected"].count("<|end|>") == 2
+
+
+def test_broken_off_replies_share_their_prompt(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "abcd"), (0, 2, "user", "r"), (1, 0, "user", "only"), (2, 0, "assistant", ""), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (3, 0, None, None)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(df).collect()}
+    assert (got[0]["n_prompt_turns"], got[0]["chosen"], got[0]["rejected"]) == (1, "<|assistant|>\nabcd<|end|>\n<|user|>\nr<|end|>\n", "<|assistant|>\nab<|end|>\n<|user|>\nr<|end|>\n")
+    assert got[1]["n_prompt_turns"] == 1 and got[1]["chosen"] == got[1]["rejected"] == ""
+    assert got[2]["n_prompt_turns"] == 1 and got[3]["n_prompt_turns"] == 2 and got[3]["rejected"] == "<|assistant|>\nsa<|end|>\n"
 
 
 def test_queries_that_have_sql(spark, sf_dir):

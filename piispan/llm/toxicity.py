@@ -4,15 +4,17 @@ Features of a text: densities of lexicon words (a small fixed list, and words an
 labelled rows by log-odds), how near second-person words are to them, capitals, punctuation, digits, and
 signs of obfuscation (digits or symbols inside words, stretched letters, lexicon words that
 appear once such marks are undone). The labelled sample (at most about `max_rows` rows, drawn by a hash
-of the id, so that it is the same each time) is split by another hash: a part teaches the lexicon, a part the
-trees, a part the isotonic calibration. Everything else covers all rows.
+of the id, so that it is the same each time) is split by another hash: a part teaches the lexicon, the rest the
+trees; each third of that rest is also scored by trees of the others, and the isotonic calibration learns from these scores.
+This is done alike for any number of labels. Everything else covers all rows.
 
 Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts get features of zero and a score like any other; a label row with
 null id or null label is no training row; a document labelled more than once is toxic if any label says
-so; repeated document ids train once; with no labelled rows, or one class only, every score is the training
-rate (0 without rows); extra columns are ignored; an empty table gives an empty result.
+so; repeated document ids train once; with no labelled rows, or one class only, there is nothing to learn and every score is the
+training rate (0 without rows); where only the lexicon's part has one of the classes, trees and calibration learn the other's rate;
+with labels in the lexicon's part alone, the trees learn from these; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _NOT_LETTERS = re.compile(r"[\d@$*!|]")
 FEATURES = ("words", "chars", "strong", "strong_rate", "weak_rate", "weight_rate", "top_weight", "kinds", "near_you", "you_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "punct_rate", "digit_rate", "odd_rate", "hidden_rate", "stretch_rate", "repeat_rate", "line_rate")
 STRONG, WEAK = 3.0, 1.0
+#: Parts of the labelled rows: those that teach the lexicon, and the folds of the others, each scored by trees of the rest.
+TEACH, FOLDS = (0, 1, 2), ((3, 4), (5, 6), (7,))
+#: A word has to occur in so many toxic texts to be learned.
+LEAST_SEEN = 4
 
 
 def _stems(word: str) -> list[str]:
@@ -187,8 +193,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     known = narrow(labels, "doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))
-    sample = known.filter(draw < int(1_000_000 * min(1.0, max_rows / max(n, 1))) + 1)
+    # a draw of 63 bits, so that the sample is as large as asked for however many labels there are
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("draw")), 1)
+    sample = known if n <= max_rows else known.filter(draw < int((1 << 63) * (max_rows / n)))
     # the sample is bounded by max_rows (and the hash's evenness): about 16 bytes a row are broadcast
     ids = F.broadcast(sample.withColumnRenamed("doc_id", "label_id"))
     d = narrow(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("label_id"))
@@ -221,26 +228,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_lexi
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     rate = sum(n for t, n in sizes.items() if t) / total if total else 0.0
-    if not 0 < rate < 1 or min(sizes.values()) < 8:
+    if not 0 < rate < 1:
         return Model(Lexicon({}), None, None, rate)
-    teach = rows.filter(F.col("part") < 3)
+    teach = rows.filter(F.col("part").isin(*TEACH))
     n1, n0 = (teach.filter(c).count() for c in (F.col("toxic") > 0, F.col("toxic") == 0))
     df = teach.mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("b"))
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    top = df.filter(F.col("a") >= 4).withColumn("w", weight).filter(F.col("w") >= WEAK).orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(max_lexicon)
+    top = df.filter(F.col("a") >= LEAST_SEEN).withColumn("w", weight).filter(F.col("w") >= WEAK).orderBy(F.desc(F.col("w") * F.sqrt("a")), "term").limit(max_lexicon)
     lexicon = {r["term"]: float(r["w"]) for r in top.select("term", "w").collect()}
-    got = rows.filter(F.col("part") >= 3).mapInArrow(_features(lexicon), "x array<double>, toxic int, part int").collect()
+    features = lambda df: df.mapInArrow(_features(lexicon), "x array<double>, toxic int, part int").collect()
+    got = features(rows.filter(~F.col("part").isin(*TEACH))) or features(rows)
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     y, part = np.array([float(r["toxic"] > 0) for r in got]), np.array([r["part"] for r in got])
     order = np.lexsort((*x.T, y, part))
     x, y, part = x[order], y[order], part[order]
-    fit, calibrate = part < 6, part >= 6
-    if len(set(y[fit])) < 2 or len(set(y[calibrate])) < 2:
-        fit = calibrate = np.ones(len(y), bool)
-    if len(set(y)) < 2:
-        return Model(Lexicon({}), None, None, rate)
-    trees = Trees().fit(x[fit], y[fit])
-    return Model(Lexicon(lexicon), trees, isotonic(trees.raw(x[calibrate]), y[calibrate]), rate)
+    trees = Trees().fit(x, y)
+    # calibrated on scores of rows by trees that have not seen them
+    unseen = np.zeros(len(y))
+    for fold in FOLDS:
+        own = np.isin(part, fold)
+        if own.any():
+            unseen[own] = (Trees().fit(x[~own], y[~own]) if (~own).any() else trees).raw(x[own])
+    return Model(Lexicon(lexicon), trees, isotonic(unseen, y), rate)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:

@@ -4,11 +4,13 @@ import array
 import base64
 import bz2
 import collections
+import decimal
 import gzip
 import hashlib
 import json
 import math
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -249,6 +251,58 @@ def test_tiles_do_not_overlap_and_take_the_longest_first():
     assert decontaminate.tiles(a[:4], b, 5) == []
 
 
+def slow_tiles(a, b, least):
+    """Greedy string tiling as it is defined: the longest match of unmarked words first, the first of equally long ones."""
+    a_free, b_free, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and a_free[i + k] and b_free[j + k]:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < least:
+            return sorted(out)
+        a_free[i : i + k], b_free[j : j + k] = [False] * k, [False] * k
+        out.append((i, j, k))
+
+
+def test_tiles_by_brute_force():
+    rng = np.random.default_rng(4)
+    same = 0
+    for n in range(150):
+        a, b = (rng.integers(0, 2 + n % 5, rng.integers(0, 25)).astype(np.uint64) for _ in range(2))
+        got, want = decontaminate.tiles(a, b, 3), slow_tiles(a.tolist(), b.tolist(), 3)
+        for side in (0, 1):
+            places = [x for t in got for x in range(t[side], t[side] + t[2])]
+            assert len(places) == len(set(places))
+        assert all((a[i : i + k] == b[j : j + k]).all() and k >= 3 for i, j, k in got)
+        covered = [sum(k for *_, k in x) for x in (got, want)]
+        assert abs(covered[0] - covered[1]) <= 3  # ties may fall otherwise
+        same += covered[0] == covered[1]
+    assert same > 130
+
+
+def test_tiles_of_texts_of_one_word_are_quick():
+    a, b = np.full(300, 7, np.uint64), np.full(5000, 7, np.uint64)
+    began = time.process_time()
+    assert decontaminate.tiles(a, b, 5) == [(0, 0, 300)]
+    assert time.process_time() - began < 1
+
+
+def test_contamination_of_repeated_rows_and_other_id_types(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([("a", item, 1, "x"), ("a", item, 1, "x"), (None, item, 2, "y"), ("b", None, 3, "z")], "doc_id string, text string, __h int, item_id string")
+    for kind, ids in (("int", [1, 1, None]), ("string", ["p", "p", None]), ("decimal(5,1)", [decimal.Decimal("1.5")] * 2 + [None])):
+        bench = spark.createDataFrame([(i, item) for i in ids], f"item_id {kind}, text string")
+        got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+        assert got == {("a", ids[0]): 4, ("a", None): 2, (None, ids[0]): 2, (None, None): 1}
+        kept = decontaminate.decontaminate(docs, bench)
+        assert [r["doc_id"] for r in kept.collect()] == ["b"] and kept.columns == docs.columns
+
+
 def brute_base(text):
     text = text or ""
     words = WORD.findall(text)
@@ -531,6 +585,46 @@ def test_toxicity_without_usable_labels(spark, docs, corpus):
         assert len(out) == len(corpus) and {r["score"] for r in out} == {0.0}
 
 
+@pytest.mark.parametrize("n_toxic", [1, 6, 20])
+def test_toxicity_learns_from_any_number_of_labels(spark, n_toxic):
+    texts = [f"you are a stupid idiot number {i}" if i < n_toxic else f"the quiet garden of house {i} lies in the sun" for i in range(60)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i < n_toxic)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(out) == 60 and all(0 <= s <= 1 for s in out.values())
+    known = [i for i in range(n_toxic) if zlib.crc32(str(i).encode()) % 4 != 2]
+    if n_toxic == 20:  # fewer rows than a leaf needs tell nothing
+        assert min(out[i] for i in known) > max(out[i] for i in range(n_toxic, 60))
+
+
+def slow_features(lexicon, text):
+    """Some features by plain counting."""
+    words = re.findall(r"[^\W_]+(?:[@$*!|0-9'’][^\W_]+)*", text.lower())
+    weight = [max([6.0 if w in toxicity.SEED_WORDS else 0.0, *(lexicon.get(s, 0.0) for s in [w, *(w[:k] + "~" for k in range(4, min(len(w), 9)))])]) for w in words]
+    strong = [i for i, w in enumerate(weight) if w >= 3]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in strong)
+    return {"strong": math.log1p(len(strong)), "near_you": near / max(len(words), 1), "you_rate": len(you) / max(len(words), 1), "exclaim_rate": text.count("!") / max(len(text), 1), "capital_rate": sum(c.isupper() for c in text) / max(len(text), 1), "top_weight": max(weight, default=0.0)}
+
+
+def test_toxic_features_by_plain_counting(corpus):
+    lexicon = {"garden": 3.5, "hous~": 1.2, "quie~": 4.0}
+    model = toxicity.Lexicon(lexicon)
+    texts = [r[1] for r in corpus if r[1]][:80] + ["You stupid id1ot!!! the garden houses QUIET you", "", "idiot " * 20 + "you"]
+    for text in texts:
+        got = dict(zip(toxicity.FEATURES, model.features(text), strict=True))
+        for name, value in slow_features(lexicon, text).items():
+            assert got[name] == pytest.approx(value), (name, text[:80])
+
+
+def test_trees_reach_the_best_single_split():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = (x[:, 1] > 2).astype(float)
+    raw = toxicity.Trees(rounds=5, depth=1).fit(x, y).raw(x)
+    assert raw[y == 1].min() > raw[y == 0].max() and len(set(raw.tolist())) == 2  # one split, at the right place
+
+
 def test_isotonic_rises():
     x = np.array([0, 1, 2, 3, 4, 5, 5, 6.0])
     knots, values = toxicity.isotonic(x, np.array([0, 1, 0, 0, 1, 1, 0, 1.0]))

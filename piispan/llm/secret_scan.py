@@ -12,22 +12,30 @@ Base64 may follow other characters of its alphabet (a path, a name) or be wrappe
 first four characters on, joined over line ends too, and compressed data is sought at each group; all members are unpacked.
 Bytes that are no UTF-8 are replaced, and the rest is scanned.
 
+Unpacked data are a stream, of any size: windows of it, which overlap and end outside of runs that may be base64, are layers one
+after another, all in the place of the whole token; a window like an earlier one is not taken again, so what unpacks to endless
+repetition costs its unpacking alone. A place in a layer is two 32-bit numbers a character, or two numbers in all within
+unpacked data.
+
 Defined results: a null or empty text has no spans; base64 is put in place of its token only if three quarters of it
-are text; unpacking stops at `max_unpacked` bytes of a token, and a token beyond it is reported as it is
-(a decompression bomb is no text); repeated rows have equal results; extra columns are ignored; an
-empty table gives an empty result.
+are text, and of unpacked data their beginning and end are put there; within unpacked data, a single run of base64 of
+more than `LONGEST_RUN` characters is taken in parts; repeated rows have equal results; extra columns are ignored; an
+empty table gives an empty result. Time is linear in a text and in what it unpacks to, for each layer.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +46,23 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
-MAX_UNPACKED = 64 << 20
+#: Unpacked data: characters in a window, in its overlap with the next, in the longest base64 run that is kept whole; bytes put in place of a token.
+WINDOW, OVERLAP, LONGEST_RUN, IN_PLACE = 1 << 20, 4096, 16 << 20, 32 << 10
+#: Bytes unpacked at a time, read at a time, and enough of them to tell packed data from chance.
+_CHUNK, _SLICE, _SURE = 1 << 20, 1 << 16, 256
 
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_ESCAPED = re.compile(r"[^\s\"']*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\s\"']*")
+_LINK, _QUOTED = re.compile(r"[^\s\"'<>]+"), re.compile(r"[^\s\"']+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)(={0,2})")
+_OUTSIDE = re.compile(r"[^A-Za-z0-9+/_=\s-]")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]")
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\udc80-\udcff]")
 _BAD = re.compile(r"[\udc80-\udcff]")
 _PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_MANY_SPACES = re.compile(r"\x20{64,}")
 
 Span = tuple[str, int, int]
-#: Decoded characters, each with the places that it comes from.
-Pieces = list[tuple[str, int, int]]
-
-
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if ":" in text or "=" in text:
@@ -67,188 +75,270 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Layer:
-    """Decoded text; character i comes from [lo[i], hi[i]) of the original."""
+    """Decoded text; character i comes from [lo[i], hi[i]) of the original; None: from its own place; numbers: all from one place."""
 
     __slots__ = ("hi", "lo", "text")
 
-    def __init__(self, text: str, lo: list[int], hi: list[int]):
+    def __init__(self, text: str, lo, hi):
         self.text, self.lo, self.hi = text, lo, hi
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return min(self.lo[a:b]), max(self.hi[a:b])
+        if self.lo is None:
+            return a, b
+        if isinstance(self.lo, int):
+            return self.lo, self.hi
+        return int(self.lo[a]), int(self.hi[b - 1])  # places rise with the text
+
+    def child(self, parts: list[tuple]) -> _Layer:
+        """A layer of parts (text, lo, hi) whose places are in this one's text."""
+        text = "".join(p[0] for p in parts)
+        if isinstance(self.lo, int) or not text:
+            return _Layer(text, self.lo, self.hi)
+        lo, hi = (np.concatenate([np.broadcast_to(np.asarray(p[k], np.int32), len(p[0])) for p in parts]) for k in (1, 2))
+        return _Layer(text, lo, hi) if self.lo is None else _Layer(text, self.lo[lo], self.hi[hi - 1])
+
+    def alone(self, text: str, a: int, b: int) -> _Layer:
+        """A layer of any text that comes from [a, b) of this one's."""
+        return _Layer(text, *self.span(a, b))
+
+
+def _same(text: str, a: int, b: int) -> tuple:
+    return text[a:b], np.arange(a, b, dtype=np.int32), np.arange(a + 1, b + 1, dtype=np.int32)
 
 
-def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """What all members of gzip, zlib or bzip2 data hold; None for anything else."""
-    out, left = [], most
+def _decompressor(raw: bytes):
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    return bz2.BZ2Decompressor() if raw[:3] == b"BZh" else None
+
+
+def _inflated(source: Iterable[bytes], ended: list[int]) -> Iterator[bytes]:
+    """What all members of gzip, zlib or bzip2 data hold, in pieces; stops where the data end or are damaged. `ended` gets a member's size."""
+    source, raw, d, size = iter(source), b"", None, 0
     while True:
+        if d is None:
+            while len(raw) < 3 and (more := next(source, None)) is not None:
+                raw += more
+            if (d := _decompressor(raw)) is None:
+                return
         try:
-            if raw[:2] == b"\x1f\x8b":
-                d = zlib.decompressobj(31)
-            elif raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-                d = zlib.decompressobj()
-            elif raw[:3] == b"BZh":
-                d = bz2.BZ2Decompressor()
-            else:
-                break
-            part = d.decompress(raw, left + 1)
+            out = d.decompress(raw, _CHUNK)
         except (zlib.error, OSError, EOFError):
-            break
-        if len(part) > left:
-            return None
-        if not d.eof:
-            break
-        out.append(part)
-        left -= len(part)
-        raw = d.unused_data
-    return b"".join(out) if out else None
-
-
-def _percent(token: str) -> Iterator[tuple[str, int, int]]:
-    """Decoded pieces with the characters of the token that they come from."""
-    at = 0
-    for m in _PERCENTS.finditer(token):
-        for i in range(at, m.start()):
-            yield token[i], i, i + 1
+            return
+        size += len(out)
+        if out:
+            yield out
+        if d.eof:
+            ended.append(size)
+            raw, d, size = d.unused_data, None, 0
+            continue
+        raw = getattr(d, "unconsumed_tail", b"")
+        if not raw and len(out) < _CHUNK and (raw := next(source, b"")) == b"":
+            return
+
+
+def _unpacked(raw: bytes) -> Callable[[], Iterator[bytes]] | None:
+    """A maker of the stream that `raw` unpacks to, with what is packed in it unpacked too; None unless a member is whole or gives a fair beginning."""
+    make, best, seen = (lambda: (raw[i : i + _SLICE] for i in range(0, len(raw), _SLICE))), None, set()
+    while True:
+        ended: list[int] = []
+        head = b""
+        for piece in _inflated(make(), ended):
+            head += piece[:_SURE]
+            if len(head) >= _SURE:
+                break
+        if not head or (len(head) < _SURE and not ended):
+            return best
+        make = best = lambda inner=make: _inflated(inner(), [])
+        if head in seen or _decompressor(head) is None:  # data that unpack to themselves are a cycle
+            return best
+        seen.add(head)
+
+
+class _Ends:
+    """A stream that remembers its beginning and its end."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.first, self.last = chunks, b"", b""
+
+    def __iter__(self) -> Iterator[bytes]:
+        for x in self.chunks:
+            room = IN_PLACE - len(self.first)
+            self.first += x[:room]
+            self.last = (self.last + x[max(0, room) :])[-IN_PLACE:]
+            yield x
+
+    def text(self) -> str:
+        return _BAD.sub("�", (self.first + self.last).decode("utf-8", "surrogateescape"))
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[str]:
+    """A stream as overlapping texts; none ends within what may be base64, if that is not too long."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for chunk in chunks:
+        held += _MANY_SPACES.sub(" " * 64, decoder.decode(chunk))
+        if len(held) < WINDOW:
+            continue
+        m = _OUTSIDE.search(held[::-1])
+        end = len(held) - m.start() if m else 0
+        if end <= OVERLAP:
+            if len(held) < LONGEST_RUN:
+                continue
+            end = len(held)
+        yield held[:end]
+        held = held[end - OVERLAP :]
+    yield held + decoder.decode(b"", True)
+
+
+def _percent(text: str, a: int, b: int) -> list[tuple]:
+    """Decoded parts of text[a:b] with the characters that they come from."""
+    parts = []
+    for m in _PERCENTS.finditer(text, a, b):
+        parts.append(_same(text, a, m.start()))
         raw, i = unquote_to_bytes(m[0]), 0
         while i < len(raw):
             size = 1 if raw[i] < 0x80 else 2 if raw[i] >> 5 == 6 else 3 if raw[i] >> 4 == 14 else 4
-            c = raw[i : i + size].decode("utf-8", "replace")
-            yield c, m.start() + 3 * i, min(m.end(), m.start() + 3 * (i + size))
+            parts.append((raw[i : i + size].decode("utf-8", "replace"), m.start() + 3 * i, min(m.end(), m.start() + 3 * (i + size))))
             i += size
-        at = m.end()
-    for i in range(at, len(token)):
-        yield token[i], i, i + 1
+        a = m.end()
+    return [*parts, _same(text, a, b)]
 
 
-def _unescape(token: str) -> Iterator[tuple[str, int, int]]:
-    at, high = 0, None
-    for m in _ESCAPE.finditer(token):
-        for i in range(at, m.start()):
-            yield token[i], i, i + 1
+def _unescape(text: str, a: int, b: int) -> list[tuple]:
+    parts, high = [], None
+    for m in _ESCAPE.finditer(text, a, b):
+        parts.append(_same(text, a, m.start()))
         code = int(m[4]) if m[4] else int(next(x for x in (m[1], m[2], m[3], m[5]) if x), 16)
-        at = m.end()
+        a = m.end()
         if m[1] and 0xD800 <= code < 0xDC00:
-            high = (code, m.start(), m.end())
+            high = (code, m.start(), a)
             continue
         if m[1] and 0xDC00 <= code < 0xE000 and high and high[2] == m.start():
-            yield chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end()
+            parts.append((chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], a))
         elif code < 0x110000 and not 0xD800 <= code < 0xE000 and code:
-            yield chr(code), m.start(), m.end()
+            parts.append((chr(code), m.start(), a))
         high = None
-    for i in range(at, len(token)):
-        yield token[i], i, i + 1
+    return [*parts, _same(text, a, b)]
+
+
+def _wrapped_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of base64 over lines; a line shorter than the one before is the last (a first line may hold more than data)."""
+    at = 0
+    while m := _BASE64.search(text, at):
+        at = end = m.end()
+        if text[m.end() - 1] == "=":
+            continue
+        sizes = [len(m[0])]
+        while n := _NEXT_LINE.match(text, end):
+            end = n.end()
+            sizes.append(len(n[1]))
+            if n[2]:
+                break
+            if sizes[-1] < sizes[-2]:
+                more = _NEXT_LINE.match(text, end) if len(sizes) == 2 else None
+                if more is None or len(more[1]) != sizes[-1]:
+                    break
+        if len(sizes) > 1:
+            at = end
+            yield m.start(), end
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """Places and codings of what may be encoded."""
+    for coding, signs, widest, least in (("percent", ("%",), _LINK, _PERCENTS), ("escape", ("\\", "&#"), _QUOTED, _ESCAPE)):
+        if any(x in text for x in signs) and least.search(text):
+            yield from ((*m.span(), coding) for m in widest.finditer(text) if least.search(text, *m.span()))
+    yield from ((*m.span(), "base64") for m in _BASE64.finditer(text))
+    if "\n" in text:
+        yield from ((a, b, "wrapped") for a, b in _wrapped_runs(text))
 
 
-def _from_base64(token: str, most: int) -> tuple[list[Pieces], Pieces]:
-    """Layers of a run of base64, and the one that can stand in its place (empty if none is text).
+def _from_base64(layer: _Layer, a: int, b: int) -> Iterator[_Layer | list[tuple]]:
+    """Layers of a run of base64; at last the parts that can stand in its place, none if nothing in it is text.
 
     Characters come from the group of four; those of unpacked data from all that follows its first group.
     """
-    at = [i for i, c in enumerate(token) if not c.isspace() and c != "="]
-    body = "".join(token[i] for i in at).translate({45: 43, 95: 47})
-    layers, best, odd = [], [], 1 / 4
+    text = layer.text
+    run = np.frombuffer(text[a:b].encode(), np.uint8)
+    kept = (run > 32) & (run != 61)
+    at, body = a + np.flatnonzero(kept), run[kept].tobytes().translate(_STANDARD)
+    best, odd = [], 1 / 4
     for k in range(4):
         part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
         if len(part) < 2:
             continue
-        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        raw = base64.b64decode(part + b"=" * (-len(part) % 4))
         for m in _PACKED.finditer(raw):
-            if m.start() % 3 == 0 and (inner := _unpacked(raw[m.start() :], most)) is not None:
-                first = at[k + m.start() // 3 * 4]
-                layers.append([(c, first, len(token)) for c in _wrapped(inner) or _BAD.sub("\ufffd", inner.decode("utf-8", "surrogateescape"))])
-                best, odd = [(c, i, i + 1) for i, c in enumerate(token[:first])] + layers[-1], -1
-        text = raw.decode("utf-8", "surrogateescape")
-        share = len(_ODD.findall(text)) / len(text)
-        if share >= odd and not base_spans(text) and next(_tokens(text), None) is None:
+            if m.start() % 3 == 0 and (make := _unpacked(memoryview(raw)[m.start() :])) is not None:
+                first = int(at[k + m.start() // 3 * 4])
+                ends = _Ends(make())
+                yield from (layer.alone(x, first, b) for x in _windows(ends))
+                best, odd = [_same(text, a, first), (ends.text(), first, b)], -1
+        decoded = raw.decode("utf-8", "surrogateescape")
+        share = len(_ODD.findall(decoded)) / len(decoded)
+        if share >= odd and not base_spans(decoded) and next(_tokens(decoded), None) is None:
             continue
-        pieces, i = [], 0
-        for c in text:
-            size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-            pieces.append(("\ufffd" if "\udc80" <= c <= "\udcff" else c, at[k + i * 4 // 3], at[k + min(len(part), -(-(i + size) * 4 // 3)) - 1] + 1))
-            i += size
-        layers.append(pieces)
+        code = np.frombuffer(decoded.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.where((code < 0x80) | ((code >= 0xDC80) & (code <= 0xDCFF)), 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
+        end = np.cumsum(size)
+        parts = [(_BAD.sub("�", decoded), at[k + (end - size) * 4 // 3], at[k + np.minimum(len(part), -(-end * 4 // 3)) - 1] + 1)]
+        yield layer.child(parts)
         if share < odd:
-            best, odd = [(c, i, i + 1) for i, c in enumerate(token[: at[k]])] + pieces, share
-    return layers, best
-
-
-def _wrapped(raw: bytes) -> str:
-    """Compressed data within compressed data goes on as base64, the next layer."""
-    return base64.b64encode(raw).decode() if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" or raw[:3] == b"BZh" else ""
+            best, odd = [_same(text, a, int(at[k])), *parts], share
+    yield best
 
 
-def _wrapped_runs(text: str) -> Iterator[re.Match]:
-    """Runs of base64 over lines; a line shorter than the one before is the last (a first line may hold more than data)."""
-    at = 0
-    while m := _WRAPPED.search(text, at):
-        lines = [(x.start(), x.end()) for x in re.finditer(r"[^\s=]+=*", m[0])]
-        size = [b - a for a, b in lines]
-        last = next((i for i in range(1, len(size)) if size[i] < size[i - 1] and not (i == 1 and size[1] == size[min(2, len(size) - 1)] and len(size) > 2)), len(size) - 1)
-        at = m.start() + lines[last][1]
-        yield _WRAPPED.match(text, m.start(), at)
-
-
-def _tokens(text: str) -> Iterator[tuple[re.Match, object]]:
-    if "%" in text:
-        yield from ((m, _percent) for m in _PERCENT.finditer(text))
-    if "\\" in text or "&#" in text:
-        yield from ((m, _unescape) for m in _ESCAPED.finditer(text))
-    yield from ((m, None) for m in _BASE64.finditer(text))
-    if "\n" in text:
-        yield from ((m, None) for m in _wrapped_runs(text))
-
-
-def _layers(text: str, most: int) -> Iterator[Pieces]:
-    """Each layer under `text`: its tokens alone, then the whole text with the tokens of one coding in place."""
-    runs: dict[re.Pattern, list[tuple[int, int, Pieces]]] = {_BASE64: [], _WRAPPED: []}
-    for m, decode in _tokens(text):
-        moved = lambda pieces, by=m.start(): [(c, by + a, by + b) for c, a, b in pieces]
-        if decode:
-            yield moved(decode(m[0]))
+def _layers(layer: _Layer) -> Iterator[_Layer]:
+    """Each layer under one: its tokens alone, then the whole text with the tokens of one coding in place."""
+    text, runs = layer.text, {"base64": [], "wrapped": []}
+    for a, b, coding in _tokens(text):
+        if coding in _DECODE:
+            yield layer.child(_DECODE[coding](text, a, b))
             continue
-        layers, best = _from_base64(m[0], most)
-        yield from map(moved, layers)
-        if best:
-            runs[m.re].append((*m.span(), moved(best)))
+        for found in _from_base64(layer, a, b):
+            if isinstance(found, _Layer):
+                yield found
+            elif found:
+                runs[coding].append((a, b, found))
     for places in runs.values():
         whole, at = [], 0
-        for a, b, pieces in places:
-            whole += [(text[i], i, i + 1) for i in range(at, a)] + pieces
+        for a, b, parts in places:
+            whole += [_same(text, at, a), *parts]
             at = b
         if whole:
-            yield whole + [(text[i], i, i + 1) for i in range(at, len(text))]
-    if _PERCENTS.search(text):
-        yield list(_percent(text))
-    if _ESCAPE.search(text):
-        yield list(_unescape(text))
+            yield layer.child([*whole, _same(text, at, len(text))])
+    for coding, least in (("percent", _PERCENTS), ("escape", _ESCAPE)):
+        if least.search(text):
+            yield layer.child(_DECODE[coding](text, 0, len(text)))
+
 
+_DECODE = {"percent": _percent, "escape": _unescape}
+_STANDARD = bytes.maketrans(b"-_", b"+/")
 
-def scan(text: str | None, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span], list[Span]]:
+
+def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans (base ones and those of decoded layers); by start, then kind."""
     if not text:
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    found, seen, work = set(base), set(), [(text, None)]
+    found, seen = set(base), set()
+    work = [_layers(_Layer(text, None, None))]  # the worklist: layers not yet taken, made when their turn comes
     while work:
-        content, layer = work.pop()
-        for pieces in _layers(content, max_unpacked):
-            decoded = "".join(p[0] for p in pieces)
-            if not decoded or decoded == content:
-                continue
-            lo, hi = [], []
-            for c, a, b in pieces:
-                if layer is not None:
-                    a, b = layer.span(a, b)
-                lo += [a] * len(c)
-                hi += [b] * len(c)
-            if (decoded, min(lo), max(hi)) in seen:
-                continue
-            seen.add((decoded, min(lo), max(hi)))
-            inner = _Layer(decoded, lo, hi)
-            found.update((k, *inner.span(a, b)) for k, a, b in base_spans(decoded))
-            work.append((decoded, inner))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        mark = (xxhash.xxh3_128_digest(layer.text.encode("utf-8", "surrogatepass")), *layer.span(0, len(layer.text)))
+        if mark in seen or layer.text == text:
+            continue
+        seen.add(mark)
+        found.update((k, *layer.span(a, b)) for k, a, b in base_spans(layer.text))
+        work.append(_layers(layer))
     return base, sorted(found, key=order)
 
 

@@ -7,6 +7,7 @@ import collections
 import decimal
 import gzip
 import hashlib
+import html
 import json
 import math
 import re
@@ -537,7 +538,84 @@ def test_wrapped_base64(end):
 def test_all_members_of_compressed_data(pack):
     token = base64.b64encode(pack(b"first part ") + pack(b"passw") + pack(b"ord = Abcdefgh12345678")).decode()
     assert ("assign", 2, 2 + len(token)) in secret_scan.scan("x " + token)[1]
-    assert secret_scan._unpacked(pack(b"a" * 20) + pack(b"b" * 20), 40) == b"a" * 20 + b"b" * 20
+    assert b"".join(secret_scan._unpacked(pack(b"a" * 20) + pack(b"b" * 20))()) == b"a" * 20 + b"b" * 20
+
+
+def slow_finds(token, depth=0):
+    """Whether a token, decoded as a whole by the standard library in any order of codings, holds a secret."""
+    if secret_scan.base_spans(token):
+        return True
+    if depth == 4:
+        return False
+    nexts = {urllib.parse.unquote(token), html.unescape(token), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), token)}
+    if re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", token):
+        raw = base64.urlsafe_b64decode(token.replace("+", "-").replace("/", "_"))
+        for unpack in (lambda x: x, gzip.decompress, zlib.decompress, bz2.decompress):
+            try:
+                nexts.add(unpack(raw).decode())
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError, ValueError):
+                continue
+    return any(slow_finds(x, depth + 1) for x in nexts - {token})
+
+
+def planted(seed, n=60):
+    """Documents of plain words with encoded secrets and encoded harmless notes: (text, places of the encoded tokens with a secret)."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        text, places = "", []
+        for _ in range(rng.integers(1, 8)):
+            text += " ".join(rng.choice(["plain", "words", "of", "a", "note", "é", "100%", "a\\b", "x&#y"], rng.integers(0, 5))) + " "
+            if rng.random() < 0.6:
+                secret = rng.choice([SECRET, "AKIA" + "QWERTYUIOP123456", "api_key: 0123456789abcdefXYZ", "just a harmless note about nothing", "the garden lies in the sun"])
+                token = encoded(secret, list(rng.choice(["url", "all", "unicode", "entity", "base64", "gzip", "zlib"], rng.integers(1, 4))))
+                if not re.search(r"[\\s'\"<>]", token):
+                    if slow_finds(token):
+                        places.append((len(text), len(text) + len(token)))
+                    text += token + " "
+        out.append((text, places))
+    return out
+
+
+def test_secrets_in_a_table_by_a_slow_decoder(spark):
+    made = planted(1) + planted(2)
+    docs = spark.createDataFrame(rows_of([t for t, _ in made]), SCHEMA)
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in secret_scan.secret_spans(docs).collect()}
+    added = 0
+    for i, (_, places) in enumerate(made):
+        base, spans = got[i]
+        assert {tuple(s) for s in base} <= {tuple(s) for s in spans}
+        added += len(spans) - len(base)
+        for a, b in places:
+            assert any(x["start"] < b and a < x["end"] for x in spans), (made[i], spans)
+        for x in spans:  # nothing is found outside the tokens that hold something
+            assert any(x["start"] < b and a < x["end"] for a, b in places) or tuple(x) in {tuple(s) for s in base}, (made[i], x)
+    assert added > 100
+
+
+def test_what_unpacks_to_very_much_is_scanned_whole(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 20_000)
+    monkeypatch.setattr(secret_scan, "LONGEST_RUN", 200_000)
+    rng = np.random.default_rng(3)
+    prose = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) + "," for _ in range(30_000))
+    for at in (0, 19_990, 100_000, len(prose)):
+        token = base64.b64encode(gzip.compress((prose[:at] + " " + SECRET + " " + prose[at:]).encode())).decode()
+        assert ("assign", 2, 2 + len(token)) in secret_scan.scan("x " + token)[1], at
+    deep = base64.b64encode(gzip.compress((prose[:50_000] + " " + SECRET).encode()))  # a run longer than a window, packed again
+    token = base64.b64encode(zlib.compress((prose + " ").encode() + deep + b" end")).decode()
+    assert ("assign", 0, len(token)) in secret_scan.scan(token)[1]
+    token = base64.b64encode(gzip.compress(b"x" * 50_000_000 + b" " + SECRET.encode())).decode()  # a bomb
+    began = time.process_time()
+    assert ("assign", 0, len(token)) in secret_scan.scan(token)[1]
+    assert time.process_time() - began < 20
+    token = base64.b64encode(gzip.compress(("password" + " " * 30_000 + "=" + " " * 30_000 + "Abcdefgh12345678").encode())).decode()
+    assert ("assign", 0, len(token)) in secret_scan.scan(token)[1]
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + "%41", "a" * 200_000 + "\\\\u0041", "%" * 100_000, "\\\\" * 100_000, "A%2" * 60_000, "\n".join("f" * (20 + i % 7) for i in range(8000)), "&#" * 60_000, "%41" * 50_000, "x" * 100_000 + "\n" + "y" * 100_000, "password" * 30_000])
+def test_long_tokens_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.scan(text)
+    assert time.process_time() - began < 5
 
 
 def test_base_secrets_by_brute_force(docs, corpus):

@@ -8,6 +8,7 @@ import decimal
 import gzip
 import hashlib
 import html
+import html.parser
 import json
 import math
 import re
@@ -741,6 +742,99 @@ def test_html_tables_lose_no_visible_text(source, text):
     assert html_render.extract_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>one</p><p data-x=it's>two</p><p>three</p><p>it's four</p>", "one\n\ntwo\n\nthree\n\nit's four"),
+        ("<p title=\"a > b\" class='x>y'>one</p>two", "one\n\ntwo"),
+        ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>C<td>c1</table>", "A  b1\n   b2\nC  c1"),
+        ("<table><tr><td rowspan=3 colspan=2>A<td>b<tr><td>c<td>d<tr><td>e</table>", "A  b\n   c  d\n   e"),
+        ("<table><tr><td rowspan=0>A<td rowspan=x>b<tr><td>c<td>d</table>", "A  b\nc  d"),
+        ("<style>.h{display:none} #i, b.k {visibility:hidden}</style><p class='x h'>no<p id=i>no<i style='visibility:visible'>yes</i><p>on <b class=k>off</b><b>on</b>", "yes\n\non on"),
+        ("<style>/* .a{display:none} */ @media print{ .b {display:none} } .c .d{display:none} p{display:none} p.e{display:block}</style><i class=a>a</i><i class=b>b</i><i class=d>d</i><p>no<p class=e>e", "abd\n\ne"),
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"),
+        ("<div style='display:none'>no<p style='display:block'>no</p></div>yes", "yes"),
+        ("<style>.a{display:none}</style><p class=a style='display:block'>shown</p><p hidden>no</p>", "shown"),
+        ("<style>.a{display:none !important}</style><p class=a style='display:block'>no</p>yes", "yes"),
+        ("<style>td.n{display:none}</style><table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes<tr><td class=n>no<td>z</table>", "   yes\nz"),
+        ("<p>a<b>b</i>c</b>d", "abcd"), ("<i>x<table><tr><td>a</i>b</table>", "x\n\nab"),
+    ],
+)
+def test_html_layout(source, text):
+    assert html_render.extract_text(source) == text
+
+
+class SlowWords(html.parser.HTMLParser):
+    """Words that a page shows, by the standard library's scanner and a list of what hides."""
+
+    hides = ("head", "script", "style", "template", "noscript", "title")
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.words = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag not in html_render.VOID:
+            self.open.append((tag, tag in self.hides or "hidden" in a or "none" in (a.get("style") or "")))
+        elif tag == "img" and not any(h for _, h in self.open):
+            self.words += (a.get("alt") or "").split()
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words += data.split()
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(int(rng.integers(1, 4))):
+        kind = rng.choice(["text", "p", "div", "ul", "table", "b", "hidden", "script", "br", "pre", "h2", "img", "a"])
+        inner = random_page(rng, depth + 1) if depth < 4 else "end"
+        word = f" w{rng.integers(1000)} &amp; "
+        out.append({
+            "text": word, "ul": f"<ul><li>{word}<li>{inner}</ul>", "table": f"<table><tr><td rowspan={rng.integers(1, 4)}> {inner} <td colspan={rng.integers(1, 4)}>{word}<tr><th>{word}</table>",
+            "hidden": f"<div hidden>{inner}</div>", "script": "<script>if (a < b) '</p>'</script>", "br": " <br> ", "img": f" <img alt='pic {word}'> ",
+            "b": f" <b title=\"x>y\">{word}</b> ", "a": f" <a href=it's>{word}</a> ",
+        }.get(kind, f"<{kind}>{inner}</{kind}>"))
+    return " ".join(out)
+
+
+def test_visible_words_by_a_slow_reader(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()] + [random_page(rng) for _ in range(300)]
+    marks = re.compile(r"(?m)^\s*(?:- |\d+\. )")
+    for page in pages:
+        text = html_render.extract_text(page)
+        got, want = collections.Counter(marks.sub(" ", text).replace("- ", " ").split()), collections.Counter(x for x in " ".join(SlowWords(page).words).replace("- ", " ").split())
+        got.pop("-", 0), want.pop("-", 0)
+        assert {k: v for k, v in got.items() if not re.fullmatch(r"\d+\.", k)} == {k: v for k, v in want.items() if not re.fullmatch(r"\d+\.", k)}, page
+
+
+HOSTILE = {
+    "unmatched ends": "<b>" * 8000 + "</i>" * 8000, "ends out of a cell": "<i><table><tr><td>" + "<b>" * 8000 + "</i>" * 8000, "rules": "<p><button>" + "<b>" * 8000 + "<hr>" * 8000 + "end",
+    "wide cell": "<table><tr><td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>", "deep tables": "<table><tr><td>" * 4000 + "x", "deep lists": "<ul><li>a" * 5000, "spans": "<table>" + "<tr><td colspan=1000>a<td>b" * 3000 + "</table>",
+    "row spans": "<table><tr>" + "<td rowspan=9999>a" * 3000 + "<tr><td>b" * 3000 + "</table>", "one line": "<i>a</i> " * 60_000, "many cells": "<table><tr>" + "<td>abc" * 3000 + "<tr><td>x<td colspan=1000>" * 3000 + "</table>",
+    "quotes": "<p a='" * 20_000, "attributes": "<p " + "a=b " * 50_000 + ">x", "style": "<style>" + ".a{display:none}" * 5000 + "@media x{" * 5000, "comment": "<!--" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_cost_little(name):
+    page = HOSTILE[name]
+    began = time.process_time()
+    text = html_render.extract_text(page)
+    assert time.process_time() - began < 5
+    assert len(text) < 50 * len(page) + 1000
+
+
 def test_render_pages(spark, sf_dir):
     out = html_render.render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert out and all("<script" not in r["text"] and "track(" not in r["text"] for r in out)

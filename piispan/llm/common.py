@@ -62,3 +62,21 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """
     have = set(docs.columns)
     return docs.select(*[docs[f"`{n}`"].alias(n) if n in have else F.lit(None).cast("string").alias(n) for n in names])
+
+
+#: Keys that are joined by broadcast: at most so many, each of more rows than `HOT_ROWS`.
+HOT_KEYS, HOT_ROWS = 1024, 1000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join by a column `key` of both. In `small` the key is unique and `n` tells how many rows of `big` have it.
+
+    The keys with the most rows meet their partners by broadcast (`HOT_KEYS` rows at most), where they stand; the others
+    are shuffled, and each has less than one part in `HOT_KEYS` of the rows. `n` is dropped.
+    """
+    hot = small.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).drop("n").withColumnRenamed(key, "hot_key")
+    ids = F.broadcast(hot.select("hot_key"))
+    cold = small.drop("n").withColumnRenamed(key, "cold_key")
+    first = big.join(F.broadcast(hot), big[key] == hot["hot_key"]).drop("hot_key")
+    rest = big.join(ids, big[key] == ids["hot_key"], "left_anti")
+    return first.unionByName(rest.join(cold, rest[key] == cold["cold_key"]).drop("cold_key"))

@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a minimum by
 node and a join on the node, so a node with very many links is pre-aggregated on the map side
-and its links are split by adaptive skew joins. Each round is cut with a checkpoint in the
-shared folder.
+and its links stay where they are: the nodes with the most links get their minimum by broadcast. Each step is cut with
+a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piispan.llm.common import cut
+from piispan.llm.common import cut, join_hot
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -21,12 +21,12 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select(a, b).union(links.select(F.col(b).alias(a), F.col(a).alias(b)))
     else:
         both = links.select(F.greatest(a, b).alias(a), F.least(a, b).alias(b))
-    least = both.groupBy(F.col(a).alias("node")).agg(F.min(b).alias("m")).select("node", F.least("node", "m").alias("m"))
-    joined = both.join(least, both[a] == least["node"])
+    least = both.groupBy(a).agg(F.min(F.least(a, b)).alias("m"), F.count("*").alias("n"))
+    joined = join_hot(both, least, a)
     if large:
         out = joined.filter(F.col(b) > F.col(a)).select(F.col(b).alias(a), F.col("m").alias(b))
     else:
-        out = joined.select(F.col(b).alias(a), F.col("m").alias(b)).union(least.select(F.col("node").alias(a), F.col("m").alias(b)))
+        out = joined.select(F.col(b).alias(a), F.col("m").alias(b)).union(least.select(a, F.col("m").alias(b)))
     return out.filter(F.col(a) != F.col(b)).distinct()
 
 
@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.filter(F.col("a") != F.col("b")).distinct())
     before = None
     while True:
-        links = cut(_star(_star(links, large=True), large=False))
+        links = cut(_star(cut(_star(links, large=True)), large=False))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,14 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into three segments of 21 or 22 bits. Two fingerprints at a distance of 4 or
-less differ in at most one bit in some segment. The table side files each distinct fingerprint
-under its three segment values; the probe side enumerates the ball of radius 1 around each
-segment value, fetches what is filed there and verifies the whole distance.
+A fingerprint is cut into segments: three of 21 or 22 bits, or two of 32 bits once there are more fingerprints than short
+segments tell apart (`MOST_SHORT`). Two fingerprints at a distance of 4 or less differ in at most one bit in one
+of three segments, or two in one of two. The table side files each distinct fingerprint under its segments' values; the probe side
+enumerates the ball of that radius around each segment's value, fetches what is filed there and verifies the whole distance.
 
 Equal fingerprints are one node, so exact copies never meet in pairs. Within a bucket of keys,
 verified links are reduced to a spanning forest before they leave it, so a bucket of n emits fewer
 than n links however many pairs it verifies. A key under which more than `block` fingerprints are
-filed is compared in blocks, each table block with each probe block, in tasks of their own.
+filed is compared in blocks, each table block with each probe block, in tasks of their own; such keys are at most `MOST_HOT`.
+Fingerprints and components that very many rows share meet their class by broadcast of the few hottest, so
+no key is one task's.
 
 Defined results: null and empty texts have the fingerprint zero and link like any other; texts of
 fewer words than a shingle hash their whole word sequence; repeated rows share a fingerprint; null
@@ -19,19 +21,24 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from piispan.llm import words as W
-from piispan.llm.common import cut, n_partitions, narrow
+from piispan.llm.common import cut, join_hot, n_partitions, narrow
 from piispan.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
+#: First bit and bits of each segment: short ones, and long ones for more fingerprints than `MOST_SHORT`.
+SHORT, LONG, MOST_SHORT = ((0, 21), (21, 21), (42, 22)), ((0, 32), (32, 32)), 1 << 25
+#: Fingerprints in a block, keys that may have blocks, rows in a task's group.
+MOST_HOT, GROUP_ROWS = 100_000, 2_000_000
 BLOCK = 16384
 _SPREAD = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)], np.uint8).view(np.uint64).ravel()
 _BYTES = 2 << 20
@@ -84,26 +91,35 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def add_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of id and text), fp (the fingerprint as a signed long)."""
-    d = narrow(docs, "doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
-    return d.mapInArrow(_fingerprint_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint")
+    """doc_id, h (a hash of id and text unless `docs` has one), fp (the fingerprint as a signed long)."""
+    d = docs.select("doc_id", "text", "h") if isinstance(docs.schema["h"].dataType if "h" in docs.columns else None, T.StructType) else narrow(docs, "doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    return d.mapInArrow(_fingerprint_batches, T.StructType([d.schema["doc_id"], d.schema["h"], T.StructField("fp", T.LongType())]))
 
 
 def _key(i: int, value: Column) -> Column:
-    return F.lit(i << 24) + value
+    return F.lit(i << 33) + value
 
 
-def _segment(i: int) -> Column:
-    first, bits = SEGMENTS[i]
+def _segment(first: int, bits: int) -> Column:
     return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _filed() -> Column:
-    return F.array(*[_key(i, _segment(i)) for i in range(len(SEGMENTS))])
+def _filed(segments) -> Column:
+    return F.array(*[_key(i, _segment(*s)) for i, s in enumerate(segments)])
 
 
-def _balls() -> Column:
-    return F.array(*[_key(i, _segment(i).bitwiseXOR(F.lit(flip))) for i, (_, bits) in enumerate(SEGMENTS) for flip in [0, *(1 << b for b in range(bits))]])
+def _ball(bits: int, radius: int) -> list[int]:
+    """All masks of at most `radius` bits."""
+    return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
+
+
+def _probes(fps: DataFrame, segments, radius: int) -> DataFrame:
+    """fp and each key in the balls around its segments' values."""
+    masks = F.array(*[F.lit((i << 33) + m) for i, (_, bits) in enumerate(segments) for m in _ball(bits, radius)])
+    near = F.lit(0)
+    for i, s in enumerate(segments):
+        near = _segment(*s) if not i else F.when(F.col("mask") >= i << 33, _segment(*s)).otherwise(near)
+    return fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("mask").bitwiseXOR(near).alias("key"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,21 +168,24 @@ def _verified(distance: int):
     return links
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments=None) -> DataFrame:
     """Links a-b between distinct fingerprints (column fp) whose components are those of all pairs at `distance` or less."""
-    if distance // len(SEGMENTS) > 1:
-        raise ValueError("balls of radius 1 in three segments find distances up to 5")
-    filed = fps.select("fp", F.explode(_filed()).alias("key"))
+    count = fps.count()
+    segments = segments or (SHORT if count <= MOST_SHORT else LONG)
+    radius = distance // len(segments)
+    block = max(block, len(segments) * count // MOST_HOT)  # so at most MOST_HOT keys are hot
+    filed = fps.select("fp", F.explode(_filed(segments)).alias("key"))
     hot = filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = filed.withColumn("probe", F.lit(False)).unionByName(fps.select("fp", F.explode(_balls()).alias("key"), F.lit(True).alias("probe")))
-    rows = rows.join(hot, rows["key"] == hot["hot_key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = filed.withColumn("probe", F.lit(False)).unionByName(_probes(fps, segments, radius).withColumn("probe", F.lit(True)))
+    rows = rows.join(F.broadcast(hot), rows["key"] == hot["hot_key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     # cell (i, j): table block i with probe block j of a key
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("probe"), F.transform(others, lambda i: i * F.col("blocks") + mine)).otherwise(F.transform(others, lambda j: mine * F.col("blocks") + j))
     rows = rows.select("fp", "probe", "key", F.explode(cells).alias("part")).withColumn("cell", F.xxhash64("key", "part"))
-    n = n_partitions(fps.sparkSession)
-    rows = rows.select("fp", "probe", "cell", F.pmod(F.shiftrightunsigned("cell", 20), F.lit(4 * n)).cast("int").alias("bucket"))
+    each = len(segments) + sum(len(_ball(bits, radius)) for _, bits in segments)
+    n = max(4 * n_partitions(fps.sparkSession), each * count // GROUP_ROWS)
+    rows = rows.select("fp", "probe", "cell", F.pmod(F.shiftrightunsigned("cell", 20), F.lit(n)).cast("int").alias("bucket"))
     return rows.groupBy("bucket").applyInArrow(_verified(distance), "a bigint, b bigint")
 
 
@@ -174,22 +193,30 @@ def _unsigned(root: Column) -> Column:
     return F.lpad(F.lower(F.hex(root)), 16, "0")
 
 
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, root (the least fingerprint of its component), component_id, n (rows of `prints` that have it)."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    roots = components(near_links(nodes.select("fp"), distance))
+    named = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    return cut(join_hot(named, ids, "root").select("fp", "root", "component_id", F.col("rows").alias("n")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row for each row of `docs`: doc_id, h, fingerprint, component_id (the least doc_id reachable), root (its fingerprint)."""
     prints = cut(add_fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(near_links(nodes.select("fp"), distance))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("node_fp"), "root", "component_id")
-    joined = prints.join(classes, prints["fp"] == classes["node_fp"])
-    return joined.select("doc_id", "h", _unsigned(F.col("fp")).alias("fingerprint"), "component_id", F.col("root"))
+    return join_hot(prints, _classes(prints, distance), "fp").select("doc_id", "h", _unsigned(F.col("fp")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each component: that with the least id."""
-    found = near_duplicates(docs, distance)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best")).select(F.col("best.h").alias("__chosen"))
-    keyed = docs.withColumn("__h", F.xxhash64("doc_id", "text"))
-    kept = keyed.join(chosen.distinct(), F.col("__h") == F.col("__chosen"), "left_semi")
-    return kept.dropDuplicates(["__h"]).drop("__h")
+    """The rows of `docs`, all columns, with one document of each component: that with the least id.
+
+    Rows are told apart by 128 bits of hashes of id and text, so n rows collide by chance with n^2 / 2^129.
+    """
+    hashes = [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("h2")]
+    found = near_duplicates(docs.select("doc_id", "text", F.struct(*hashes).alias("h")), distance)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best"))
+    chosen = best.select(F.col("best.h.h1").alias("c1"), F.col("best.h.h2").alias("c2")).distinct()
+    # equal rows are made one first, on the map side already, so that however many there are they are no task's alone
+    rows = docs.select(*hashes, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).dropDuplicates(["h1", "h2"])
+    return rows.join(chosen, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from piispan.llm import chat_format, decontaminate, html_render, packing, perplexity, secret_scan, simhash, sstable, substring_dedup, toxicity
-from piispan.llm import exchange, queries
+from piispan.llm import common, exchange, queries
 from piispan.llm import words as W
 from piispan.llm.components import components
 from piispan.llm.tokenizing import encoder, public_path
@@ -413,8 +413,8 @@ def test_simhash(spark, docs, corpus):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 7])
-def test_near_links_of_a_hot_bucket_by_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "segments"), [(simhash.BLOCK, None), (7, None), (simhash.BLOCK, simhash.LONG), (50, simhash.LONG)])
+def test_near_links_of_a_hot_bucket_by_brute_force(spark, block, segments):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(1, 1 << 62))
     prints = {centre, 0, (1 << 64) - 1, 0b11111, 0b1}
@@ -426,7 +426,7 @@ def test_near_links_of_a_hot_bucket_by_brute_force(spark, block):
     prints |= {int(x) for x in rng.integers(0, 1 << 63, 200)}
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), block=block)
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), block=block, segments=segments)
     assert links.count() < 4 * 66 * len(prints)
     root = {r["node"]: r["root"] for r in components(links).collect()}
     groups = collections.defaultdict(set)
@@ -447,6 +447,19 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, len(r["text"])) for r in kept) == [(0, 32), (5, len(text))]
 
 
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = [(k, i) for k in range(12) for i in range(k)]
+    big = spark.createDataFrame(rows, "k int, i int")
+    small = spark.createDataFrame([(k, f"v{k}", k) for k in range(1, 13)], "k int, v string, n int")
+    got = sorted((r["k"], r["i"], r["v"]) for r in common.join_hot(big, small, "k").collect())
+    assert got == sorted((k, i, f"v{k}") for k, i in rows)
+    links = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(39, 60)] + [(i, 100 + i % 2) for i in range(70, 99)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {i: 70 if i % 2 == 0 else 71 for i in [*range(72, 99), 100, 101]}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

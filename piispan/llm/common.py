@@ -65,7 +65,7 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
 
 
 #: Keys that are joined by broadcast: at most so many, each of more rows than `HOT_ROWS`.
-HOT_KEYS, HOT_ROWS = 1024, 1000
+HOT_KEYS, HOT_ROWS = 1024, 100
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str) -> DataFrame:

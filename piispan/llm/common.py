@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,15 @@ def join_hot(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     first = big.join(F.broadcast(hot), big[key] == hot["hot_key"]).drop("hot_key")
     rest = big.join(ids, big[key] == ids["hot_key"], "left_anti")
     return first.unionByName(rest.join(cold, rest[key] == cold["cold_key"]).drop("cold_key"))
+
+
+#: Bytes of Arrow data that become Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about `SLICE_BYTES`, a row at least."""
+    for batch in batches:
+        step = max(1, len(batch) * SLICE_BYTES // max(batch.nbytes, 1))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from piispan.llm import words as W
-from piispan.llm.common import narrow, text_bytes
+from piispan.llm.common import narrow, sliced, text_bytes
 
 MIN_MATCH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 16 << 20
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     def searcher(shared):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, min_match)
-            for batch in batches:
+            for batch in sliced(batches):
                 hits = list(_hits(index, batch["text"].to_pylist(), threshold))
                 columns = [
                     batch["doc_id"].take(pa.array([t for t, *_ in hits], pa.int64())),
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     def keeper(shared):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, min_match)
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = np.ones(len(batch), bool)
                 for t, *_ in _hits(index, batch.column(at).to_pylist(), threshold):
                     clean[t] = False

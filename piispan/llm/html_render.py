@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from piispan.llm.common import narrow
+from piispan.llm.common import narrow, sliced
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_SHOWN = frozenset("head script style template noscript title meta link iframe object svg math canvas audio video select datalist".split())
@@ -433,7 +433,7 @@ def render_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of `pages`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array([extract_text(x) for x in batch["html"].to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
     return narrow(pages, "page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")

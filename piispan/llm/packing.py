@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from piispan.llm.common import n_partitions, narrow, stored
+from piispan.llm.common import n_partitions, narrow, sliced, stored
 from piispan.llm.tokenizing import encoder, public_path
 
 CAPACITY, END_ID = 4096, 1
@@ -163,7 +163,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             which, nth, ids = [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 b = enc.encode(text) + end

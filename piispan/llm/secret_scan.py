@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piispan.llm.common import narrow
+from piispan.llm.common import narrow, sliced
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -365,7 +365,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             results = [scan(t) for t in batch["text"].to_pylist()]
             as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([as_rows(b) for b, _ in results], kind), pa.array([as_rows(s) for _, s in results], kind)], names=["doc_id", "base", "spans"])
@@ -378,7 +378,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns; secrets in `text` become marks, and `n_chars`, if any, is counted anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             i = batch.schema.get_field_index("text")
             texts = [t and ((spans := scan(t)[1]) and redact(t, spans) or t) for t in batch["text"].to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piispan.llm import words as W
-from piispan.llm.common import cut, join_hot, n_partitions, narrow
+from piispan.llm.common import cut, join_hot, n_partitions, narrow, sliced
 from piispan.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -81,7 +81,7 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarra
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch["text"].cast(pa.binary()).to_pylist()
         size = np.cumsum([len(t or b"") for t in texts])
         cuts = [0, *(np.flatnonzero(np.diff(size // _BYTES)) + 1).tolist(), len(texts)]

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from piispan.llm.common import fresh_path, n_chunks, n_partitions, narrow, stored
+from piispan.llm.common import fresh_path, n_chunks, n_partitions, narrow, sliced, stored
 from piispan.llm.tokenizing import encoder, public_path
 
 MAGIC = b"PSPNSST1"
@@ -176,7 +176,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
         fs, path = pafs.FileSystem.from_uri(name)
         part = f"{path}.{task.taskAttemptId()}.part"
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if writer is None:
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -17,7 +17,7 @@ import unicodedata
 from functools import lru_cache
 
 #: Pieces remembered; beyond, the older half is forgotten unless it is asked for again. Longer ones are made each time.
-MOST_PIECES, LONGEST = 900_000, 100
+MOST_PIECES, LONGEST = 700_000, 100
 
 
 def _byte_letters() -> dict[int, int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piispan.llm.common import cut, narrow
+from piispan.llm.common import cut, narrow, sliced
 
 THRESHOLD = 0.3
 MAX_ROWS, MAX_LEXICON = 12_000, 4_000
@@ -203,7 +203,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         terms, toxic = [], []
         for text, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             own = {s for w in set(_WORD.findall((text or "").lower())) for s in _stems(w)}
@@ -215,7 +215,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = Lexicon(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x.features(t) for t in batch["text"].to_pylist()], pa.list_(pa.float64())), batch["toxic"], batch["part"]], names=["x", "toxic", "part"])
 
     return run
@@ -259,7 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["held_out"], pa.array(m.scores(batch["text"].to_pylist()), pa.float64())], names=["doc_id", "h", "held_out", "score"])
 
     d = narrow(docs, "doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text")).withColumn("held_out", held_out("doc_id"))
@@ -274,7 +274,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             scores = m.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(scores < threshold))
 

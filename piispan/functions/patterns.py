@@ -327,7 +327,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("CITY", 0.50, rf"(?<=\bcity of )(?!{country}\b){PLACE}|(?<=\btown of )(?!{country}\b){PLACE}", ("city of ", "town of ")),
         ("CITY", 0.50, rf"(?<=\bin )(?!{country}\b){PLACE}(?=[.,;!?]|$)", (" in ",)),
         ("DOMAIN", 0.75, r"(?<![\w@./-])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:com|org|net|edu|gov|io|co|app|dev|ai|info|biz|de|fr|es|uk|eu|us|jp|cn|ru|br|in|ca|au)(?:\.[a-z]{2})?(?![\w-]|\.\w)", ("x.x",)),
-        ("COMPANY", 0.80, r"\b[A-Z][\w&'-]*(?:\s+[A-Z&][\w&'-]*){0,3},?\s+(?:Inc|Corp|Corporation|LLC|Ltd|Limited|GmbH|AG|SA|PLC|Co|LLP|BV|NV|Oy|AB)\b\.?", ("inc", "corp", "llc", "ltd", "limited", "gmbh", " ag", " sa", "plc", " co", "llp", " bv", " nv", " oy", " ab")),
+        ("COMPANY", 0.80, r"\b[A-Z][\w&'-]*(?:\s+[A-Z&][\w&'-]*){0,3},?\s+(?:Inc|Corp|Corporation|LLC|Ltd|Limited|GmbH|AG|SA|PLC|Co|LLP|BV|NV|Oy|AB)\b", ("inc", "corp", "llc", "ltd", "limited", "gmbh", " ag", " sa", "plc", " co", "llp", " bv", " nv", " oy", " ab")),
         ("COMPANY", 0.75, r"\b[A-Z][\w&'-]+(?:\s+[A-Z][\w&'-]+){0,2}\s+(?:" + TRADES + r")\b", tuple(t.lower() for t in TRADES.split("|"))),
         ("COMPANY", 0.65, r"(?i:\b(?:works? (?:at|for)|employed by|company\s*:|employer\s*:|vendor\s*:))\s+[A-Z][\w&'-]+(?:\s+[A-Z][\w&'-]+){0,2}", ("work", "employ", "company", "vendor")),
         ("COMPANY", 0.80, rf"\b{_any(KNOWN_COMPANIES)}", tuple(c.lower() for c in KNOWN_COMPANIES)),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from piispan.queries import actions, detection, evaluation, normalization, resolution
+from piispan.queries import actions, detection, evaluation, known, normalization, resolution
 
-MODULES = (detection, normalization, resolution, actions, evaluation)
+MODULES = (detection, normalization, known, resolution, actions, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

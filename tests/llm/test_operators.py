@@ -317,7 +317,8 @@ def brute_base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
 
 
-def brute_log_ppl(texts, langs):
+def brute_log_ppl(texts, langs, others=None, other_langs=None):
+    """Of the texts by their own model, or of others by that model."""
     out, words = [], [WORD.findall(t or "") for t in texts]
     pairs = collections.defaultdict(collections.Counter)
     for ws, lang in zip(words, langs, strict=True):
@@ -333,10 +334,17 @@ def brute_log_ppl(texts, langs):
             left[h] += d[min(n, 3) - 1]
             cont[w] += 1
         models[lang] = c, d, ch, left, cont
+    if others is not None:
+        words, langs = [WORD.findall(t or "") for t in others], other_langs
     for ws, lang in zip(words, langs, strict=True):
-        c, d, ch, left, cont = models[lang] if ws else (None,) * 5
-        s = sum(-math.log((max(c[p] - d[min(c[p], 3) - 1], 0) + left[p[0]] * cont[p[1]] / len(c)) / ch[p[0]]) for p in zip([None, *ws], ws))
-        out.append(s / len(ws) if ws else None)
+        c, d, ch, left, cont = models.get(lang) or [collections.Counter() for _ in range(5)]
+
+        def p(h, w, c=c, d=d, ch=ch, left=left, cont=cont):
+            base = max(cont[w], 0.5) / max(len(c), 1)
+            n = c[h, w]
+            return ((max(n - d[min(n, 3) - 1], 0) if n else 0) + left[h] * base) / ch[h] if ch[h] else base
+
+        out.append(sum(-math.log(p(*x)) for x in zip([None, *ws], ws)) / len(ws) if ws else None)
     return out
 
 
@@ -364,6 +372,25 @@ def test_quality_rules(spark, corpus):
     assert np.mean([g["kept"] for g in got.values() if not g["base_failed"]]) > 0.9
 
 
+def test_stored_model_scores_its_corpus_and_others(spark, corpus, tmp_path):
+    rows = [(*r[:2], (None, "en", "fr")[i % 3], *r[3:]) for i, r in enumerate(corpus)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    own = {r["doc_id"]: r for r in perplexity.score_perplexity(docs).collect()}
+    model = perplexity.train_model(docs, f"file://{tmp_path}/model")
+    for r in model.filter("kind = 0").collect():  # sorted arrays
+        keys, (counts,) = perplexity._keys_and_counts(r["body"])
+        assert (np.diff(keys.astype(object)) > 0).all() and len(keys) == len(counts) and counts.min() > 0
+    for r in perplexity.score_with_model(docs, model).collect():
+        assert (r["log_ppl"] is None) == (own[r["doc_id"]]["log_ppl"] is None) and (r["log_ppl"] or 0) == pytest.approx(own[r["doc_id"]]["log_ppl"] or 0, rel=1e-9)
+    taught, others = rows[:120], [*rows[120:], (9001, "zzz unseen words only here", "en", "s", 1, "x", "y", 1), (9002, "a language unseen", "xx", "s", 1, "x", "y", 1), (9003, None, "en", "s", 1, "x", "y", 1)]
+    model = perplexity.train_model(spark.createDataFrame(taught, SCHEMA))
+    got = {r["doc_id"]: r["log_ppl"] for r in perplexity.score_with_model(spark.createDataFrame(others, SCHEMA), model).collect()}
+    want = brute_log_ppl([r[1] for r in taught], [r[2] for r in taught], [r[1] for r in others], [r[2] for r in others])
+    assert len(got) == len(others)
+    for r, x in zip(others, want, strict=True):
+        assert (got[r[0]] is None) if x is None else got[r[0]] == pytest.approx(x, rel=1e-9), r[0]
+
+
 def test_perplexity_rejects_junk_on_both_sides_in_every_language(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = perplexity.quality_filter(d).join(lab.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").filter("not base_failed and quality is not null").collect()

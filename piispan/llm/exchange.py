@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piispan.llm.common import narrow
+from piispan.llm.common import n_partitions, narrow
 
 CHUNKS = "chunk int, body binary"
 CELLS = "bucket int, chunk int, kind int, body binary"
@@ -173,3 +173,12 @@ def bounds(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
 
 def cell_table(buckets: list[int], chunks: list[int], kinds: list[int], bodies: list[bytes]) -> pa.Table:
     return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array(chunks, pa.int32()), "kind": pa.array(kinds, pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+
+#: Chunks, or as much as chunks send, for one task.
+CHUNKS_A_TASK = 8
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as n chunks ask for, so that a task's share does not grow with the corpus."""
+    return df.repartition(max(n_partitions(df.sparkSession), -(-n // CHUNKS_A_TASK)), *keys)

@@ -237,7 +237,7 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
     n = max(1, n_partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
     bits = min(60, SPARE_BITS + max(28, (size // 4).bit_length()))
     id_name = docs.schema["doc_id"].dataType.simpleString()
-    chunks = X.chunked(docs, n, "lang")
+    chunks = X.dealt(X.chunked(docs, n, "lang"), n, "chunk")
 
     def send(key, t):
         c = _Chunk(t, bits)
@@ -307,8 +307,8 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
 
     by_chunk = lambda df: df.groupBy("chunk")
     # three jobs, the first two written to the shared folder: each holds the shuffled texts and one exchange
-    counted = stored_alone(by_chunk(chunks).applyInArrow(send, X.CELLS).groupBy("bucket").applyInArrow(sum_bigrams, X.CELLS), "bigrams")
-    summed = stored_alone(by_chunk(chunks).cogroup(by_chunk(counted)).applyInArrow(word_stats, X.CELLS).groupBy("bucket").applyInArrow(sum_words, X.CELLS), "words")
+    counted = stored_alone(X.dealt(by_chunk(chunks).applyInArrow(send, X.CELLS), n, "bucket").groupBy("bucket").applyInArrow(sum_bigrams, X.CELLS), "bigrams")
+    summed = stored_alone(by_chunk(chunks).cogroup(by_chunk(counted)).applyInArrow(word_stats, X.CELLS).transform(lambda d: X.dealt(d, n, "bucket")).groupBy("bucket").applyInArrow(sum_words, X.CELLS), "words")
     return by_chunk(chunks).cogroup(by_chunk(counted.unionByName(summed))).applyInArrow(score, SCORED.format(id=id_name))
 
 

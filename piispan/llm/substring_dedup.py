@@ -13,6 +13,8 @@ windows about n^2 / 2^65 pairs collide by chance.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,37 +77,81 @@ def _intervals(w: W.Words, gone: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, w.first).astype(np.int32)), structs)
 
 
+CELLS = "slot int, chunk int, range int, body binary"
+MERGED = "bucket int, slot int, body binary"
+ANSWERS = "slot int, bucket int, body binary"
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_words, n_removed, kept_text, removed (word intervals)."""
+    """One row for each row of `docs`: doc_id, n_words, n_removed, kept_text, removed (word intervals).
+
+    Chunks and buckets of the hash space meet in two steps. Of n chunks, about sqrt(n) make a group, and sqrt(n) buckets a range: a chunk sends a
+    cell for each range; a slot (a group and a range) merges its cells and sends one for each bucket of the range; buckets answer
+    slots, and slots their chunks. So there are some n^1.5 cells, not n^2, and a key that many chunks of a group have goes on once.
+    """
     if window < 2:
         raise ValueError("a window has two words at least")
     n = n_chunks(docs)
+    side = math.isqrt(n - 1) + 1
     id_type = docs.schema["doc_id"].dataType
-    chunks = X.chunked(docs, n)
+    chunks = X.dealt(X.chunked(docs, n), n, "chunk")
 
     def send(key, t):
+        chunk = key[0].as_py()
         _, _, _, keys, _, _ = _hashed(t, window)
-        edge = X.bounds(keys, n)
-        full = [b for b in range(n) if edge[b + 1] > edge[b]]
-        return X.cell_table(full, [key[0].as_py()] * len(full), [0] * len(full), [X.pack_sorted(keys[edge[b] : edge[b + 1]]) for b in full])
+        edge = X.bounds(keys, side)
+        full = [r for r in range(side) if edge[r + 1] > edge[r]]
+        first = chunk // side * side
+        return pa.table({"slot": pa.array([first + r for r in full], pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "range": pa.array(full, pa.int32()), "body": pa.array([X.pack_sorted(keys[edge[r] : edge[r + 1]]) for r in full], pa.binary())})
+
+    def joined(t):
+        """A slot's cells, its distinct keys, where each cell's keys are among them, and which more than one cell has."""
+        t = t.sort_by("chunk")
+        cells = [X.unpack_sorted(b) for b in t["body"].to_pylist()]
+        keys, inverse, counts = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+        return t, keys, np.split(inverse, np.cumsum([len(c) for c in cells])[:-1]), counts > 1
+
+    def parts(keys, r):
+        """The buckets of a range, as (bucket, from, to) among sorted keys."""
+        edge = X.bounds(keys, side * side)
+        return [(b, edge[b], edge[b + 1]) for b in range(r * side, (r + 1) * side) if edge[b + 1] > edge[b]]
+
+    def merge(key, t):
+        t, keys, _, _ = joined(t)
+        own = parts(keys, t["range"][0].as_py())
+        return pa.table({"bucket": pa.array([b for b, *_ in own], pa.int32()), "slot": pa.array([key[0].as_py()] * len(own), pa.int32()), "body": pa.array([X.pack_sorted(keys[a:e]) for _, a, e in own], pa.binary())})
 
     def answer(key, t):
         hits = _repeated(t["body"].to_pylist())
         some = [i for i, x in enumerate(hits) if x.any()]
-        chunk = t["chunk"].to_pylist()
-        return X.cell_table([key[0].as_py()] * len(some), [chunk[i] for i in some], [0] * len(some), [np.packbits(hits[i]).tobytes() for i in some])
+        slot = t["slot"].to_pylist()
+        return pa.table({"slot": pa.array([slot[i] for i in some], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(some), pa.int32()), "body": pa.array([np.packbits(hits[i]).tobytes() for i in some], pa.binary())})
+
+    def spread(key, t, answers):
+        if not len(t):
+            return pa.table({"chunk": pa.array([], pa.int32()), "range": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+        t, keys, places, hit = joined(t)
+        r = t["range"][0].as_py()
+        at = {b: (a, e) for b, a, e in parts(keys, r)}
+        for b, bits in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True):
+            a, e = at[b]
+            hit[a:e] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=e - a).astype(bool)
+        some = [(c, hit[p]) for c, p in zip(t["chunk"].to_pylist(), places, strict=True) if hit[p].any()]
+        return pa.table({"chunk": pa.array([c for c, _ in some], pa.int32()), "range": pa.array([r] * len(some), pa.int32()), "body": pa.array([np.packbits(x).tobytes() for _, x in some], pa.binary())})
 
     def remove(key, t, answers):
         rows, w, at, keys, inverse, counts = _hashed(t, window)
-        edge, hit = X.bounds(keys, n), counts > 1
-        for b, bits in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True):
-            a, e = edge[b], edge[b + 1]
+        edge, hit = X.bounds(keys, side), counts > 1
+        for r, bits in zip(answers["range"].to_pylist(), answers["body"].to_pylist(), strict=True):
+            a, e = edge[r], edge[r + 1]
             hit[a:e] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=e - a).astype(bool)
         gone = W.covered(at[hit[inverse]], window, int(w.first[-1]))
         total = np.concatenate(([0], np.cumsum(gone)))[w.first]
         return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(w.counts(), pa.int64()), "n_removed": pa.array(np.diff(total), pa.int64()), "kept_text": pa.array(_kept(w, gone), pa.binary()).cast(pa.string()), "removed": _intervals(w, gone)})
 
-    cells = chunks.groupBy("chunk").applyInArrow(send, X.CELLS)
-    answers = cells.groupBy("bucket").applyInArrow(answer, X.CELLS)
+    cells = X.dealt(chunks.groupBy("chunk").applyInArrow(send, CELLS), n, "slot")
+    merged = X.dealt(cells.groupBy("slot").applyInArrow(merge, MERGED), n, "bucket")
+    answers = merged.groupBy("bucket").applyInArrow(answer, ANSWERS)
+    told = cells.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(spread, "chunk int, range int, body binary")
     id_name = id_type.simpleString() if not isinstance(id_type, T.NullType) else "string"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, SCHEMA.format(id=id_name))
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, SCHEMA.format(id=id_name))

@@ -16,7 +16,7 @@ try:
 except ImportError:  # literals are then sought one by one
     ahocorasick = None
 
-NAME = r"[A-Z][a-z]+(?:[-'][A-Z][a-z]+)?"
+NAME = r"[A-Z][a-z]+(?:[-'][A-Z][a-z]+)?(?![a-z])"
 FULL = rf"{NAME}(?:\s+[A-Z]\.)?(?:\s+{NAME}){{1,2}}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -178,7 +178,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("CREDIT_CARD", 0.80, rf"(?i:\b{CARD_WORD})\s*#?\s*\d{{16}}{no_digit_after}", ("card", "cc", "visa", "amex", "discover")),
         ("CREDIT_CARD", 0.75, r"(?i:\b(?:visa|master\s?card|amex|american express|discover|diners|jcb|card)\s+ending\s+(?:in|with))\s+\d{4}(?!\d)", ("ending",)),
         # e-mail, keys
-        ("EMAIL", 0.90, r"(?<![\w.+-])[\w.%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])", ("@",)),
+        ("EMAIL", 0.90, r"(?<![\w.+-])[\w.%+-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])", ("@",)),
         ("EMAIL", 0.85, r"(?<![\w*])[\w.%+-]*\*+[\w.%*+-]*@[A-Za-z0-9.*-]+\.[A-Za-z]{2,}\b", ("*",)),
         ("API_KEY", 0.95, r"\b(?:sk|pk|rk)[-_](?:(?:live|test|proj|ant)[-_])?[A-Za-z0-9_-]{16,}\b", ("sk-", "sk_", "pk-", "pk_", "rk-", "rk_")),
         ("API_KEY", 0.95, r"\b(?:ghp|gho|ghu|ghs|ghr|github_pat|glpat|xox[abprs])[-_][A-Za-z0-9_-]{10,}\b", ("ghp", "gho", "ghu", "ghs", "ghr", "github_pat", "glpat", "xox")),
@@ -216,7 +216,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("PHONE", 0.60, r"(?<![\w.-])\d{11,12}(?![\d.-])", ("8#",)),
         # not groups that are an address of a host, or a card, or follow the letters of an account number
         ("PHONE", 0.60, rf"(?<![\w.-])(?!{OCTET}(?:\s+{OCTET}){{3}}(?!\d))(?![0-9]{{4}} [0-9]{{4}} [0-9]{{4}})[0-9]{{1,4}}\s[0-9]{{2,4}}(?:\s[0-9]{{3,8}}){{1,2}}(?![\d-])", ("# #",)),
-        ("PHONE", 0.55, rf"(?<![\w.-])(?!{OCTET}(?:[ .]{OCTET}){{3}}(?!\d))(?![0-9]{{4}}[-. ][0-9]{{4}}[-. ][0-9]{{4}})[0-9]{{2,4}}(?:[-–—−. ][0-9]{{2,4}}){{2}}[-–—−. ]?[0-9]{{2,4}}(?![-–—−.\s]?\d)", ("#-#", "#.#", "# #")),
+        ("PHONE", 0.55, rf"(?<![\w.-])(?!{OCTET}(?:[ .]{OCTET}){{3}}(?!\d))(?!0[0-7]{{1,3}}(?:\.0[0-7]{{1,3}}){{3}})(?![0-9]{{4}}[-. ][0-9]{{4}}[-. ][0-9]{{4}})[0-9]{{2,4}}(?:[-–—−. ][0-9]{{2,4}}){{2}}[-–—−. ]?[0-9]{{2,4}}(?![-–—−.\s]?\d)", ("#-#", "#.#", "# #")),
         # addresses of hosts
         ("IP_ADDRESS", 0.90, rf"(?<![\d.]){IPV4}(?:/(?:[12]?\d|3[0-2]))?(?![\d.]*\d)", ("#.#",)),
         ("IP_ADDRESS", 0.88, r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])", (":",)),
@@ -226,7 +226,7 @@ def rules(countries: tuple[str, ...] = COUNTRIES, cities: tuple[str, ...] = CITI
         ("IP_ADDRESS", 0.85, r"(?<![\w.])0x[0-9a-fA-F]{1,2}(?:\.0x[0-9a-fA-F]{1,2}){3}(?![\w.])", ("0x",)),
         ("IP_ADDRESS", 0.85, r"(?<![\d.])0[0-3]?[0-7]{1,2}(?:\.0[0-3]?[0-7]{1,2}){3}(?![\d.])", ("0",)),
         ("IP_ADDRESS", 0.80, rf"(?i:\bip(?:\s+address)?)\s*:?\s*{OCTET}(?: {OCTET}){{3}}(?!\d)", ("ip",)),
-        ("IP_ADDRESS", 0.80, rf"(?<![\w.-]){OCTET}(?:\s+{OCTET}){{3}}(?![\w.-])(?!\s+\d)", ("# #",)),
+        ("IP_ADDRESS", 0.80, rf"(?<![\w.-])(?<!\d )(?<!- ){OCTET}(?:\s+{OCTET}){{3}}(?![\w.-])(?!\s+\d)", ("# #",)),
         ("IP_ADDRESS", 0.85, r"(?<![\w:.])::(?![\w:.])", ("::",)),
         ("IP_ADDRESS", 0.50, r"(?<![\w.-])\d{8,10}(?![\d.-])", ("8#",)),
         # places on the globe

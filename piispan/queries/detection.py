@@ -9,6 +9,7 @@ from piispan.functions import checks
 from piispan.functions import span_arrays as A
 from piispan.functions.detector import CONTEXT
 from piispan.operators import detect as D
+from piispan.operators.telemetry import CANARIES
 from piispan.plans import api
 from piispan.queries.sqltext import luhn, spans_cte
 from piispan.schema import CRITICAL_POINTS, TYPES, type_dimension
@@ -144,6 +145,7 @@ _SSN = "lpad(CAST(c_custkey * 7 % 1000 AS VARCHAR), 3, '0') AS a, lpad(CAST(c_cu
 
 SQL = {name: f"{_S} SELECT doc_id, value, s AS span_start, e AS span_end FROM spans WHERE entity_type = '{kind}'" for name, kind in _KINDS.items()} | {
     "native_scan": f"{_S} SELECT doc_id, entity_type, value, s AS span_start, e AS span_end, score FROM spans",
+    "canary": " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS doc_id, '{kind}' AS expected, TRUE AS found" for i, (kind, _) in enumerate(CANARIES)),
     "detect_types": f"SELECT entity_type, CAST(points AS BIGINT) AS points, critical FROM (VALUES {_TYPES}) AS t(entity_type, points, critical)",
     "card_validate": f"""WITH bins(ord, lo, hi, brand) AS (VALUES {_BINS}), n AS (SELECT c_custkey, {_DIGITS_SQL} AS number FROM customer),
 b AS (SELECT c_custkey, arg_min(brand, ord) AS brand FROM n JOIN bins ON CAST(number[1:6] AS INTEGER) BETWEEN lo AND hi GROUP BY 1),

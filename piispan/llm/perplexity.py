@@ -9,7 +9,7 @@ documents. `score_perplexity` scores a corpus by its own model and gives the sam
 the arrays, which would not fit beside its shuffles in the disk that it may use. Hashes have ten bits more than
 the corpus has words, so that about one key in a thousand shares its hash, at any size.
 
-The order is two. Scored on the corpus that it counts, a third order knows nearly every rare trigram of a text from the text itself: at 0.1,
+The order is two. The corpus that is scored is the one that is counted, so a third order probably knows a text's rare trigrams from the text itself: at 0.1,
 with the same fences, it rejects 68 of the 301 labelled junk documents that pass the base rules, two orders 249 (and 163 against 137 of
 3,330 clean ones).
 

@@ -422,3 +422,29 @@ def test_observed_counts(spark):
 
     docs, o = observed(detect.native_spans(spark.createDataFrame([(1, "a@b.co"), (2, "x" * 20)], "doc_id long, text string")))
     assert docs.select(F.max(F.length(truncated(F.col("text"), 10)))).first()[0] == 25 and o.get["spans"] == 1
+
+
+@pytest.mark.parametrize("name", ["detect_known"])
+def test_known_answers_for_keys_like_masks_and_words(spark, tmp_path, name):
+    import duckdb
+
+    from piispan import queries
+
+    spark.createDataFrame([(k,) for k in (1, 11, 22, 99, 110, 211, 333, 1119, 44444, 111111)], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    df = queries.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("cc 4111 1111 1111 1111", "4111 1111 1111 1111"), ("CC: 4111 1111 1111 1111", "CC: 4111 1111 1111 1111"), ("ｃｃ ４１１１ １１１１ １１１１ １１１１", "４１１１ １１１１ １１１１ １１１１"), ("my cc for order 4111111111111111", "4111111111111111"), ("success, tracking 4111111111111111", None)],
+)
+def test_cc_before_a_number(text, value):
+    assert [text[s.o_start : s.o_end] for s in D.detect(text) if s.entity_type == "CREDIT_CARD"] == ([value] if value else [])
+
+
+@pytest.mark.parametrize(("local", "found"), [("cc", True), ("mmm", True), ("aA", True), ("xxxx", False), ("X*x", False), ("00", False), ("__", False)])
+def test_masked_addresses(local, found):
+    assert ("EMAIL" in types(f"mail {local}@example.com")) == found

@@ -424,7 +424,7 @@ def test_observed_counts(spark):
     assert docs.select(F.max(F.length(truncated(F.col("text"), 10)))).first()[0] == 25 and o.get["spans"] == 1
 
 
-@pytest.mark.parametrize("name", ["detect_known"])
+@pytest.mark.parametrize("name", ["detect_known", "features_known"])
 def test_known_answers_for_keys_like_masks_and_words(spark, tmp_path, name):
     import duckdb
 
@@ -448,3 +448,8 @@ def test_cc_before_a_number(text, value):
 @pytest.mark.parametrize(("local", "found"), [("cc", True), ("mmm", True), ("aA", True), ("xxxx", False), ("X*x", False), ("00", False), ("__", False)])
 def test_masked_addresses(local, found):
     assert ("EMAIL" in types(f"mail {local}@example.com")) == found
+
+
+@pytest.mark.parametrize(("before", "words"), [("CC: ", ("cc",)), ("cc # ", ("cc",)), ("his cc, ", ("cc",)), ("bccd ", ()), ("success ", ()), ("credit ", ("credit",))])
+def test_context_words_of_cards(before, words):
+    assert [s.context_keywords for s in D.detect(f"{before}it is 4111-1111-1111-1111") if s.entity_type == "CREDIT_CARD"] == [words]

@@ -42,6 +42,8 @@ SPARE_BITS = 10
 #: Continuations of a word that the model has not seen.
 UNSEEN = 0.5
 CHUNK_BYTES = 8 << 20
+#: Of a chunk, bytes of text (whole texts, one at least) and distinct bigrams that are computed on at a time: temporary arrays are many times what they come from.
+RUN_BYTES, RUN_PAIRS = 1 << 20, 1 << 17
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
 SCORED = "doc_id {id}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double"
@@ -54,29 +56,43 @@ _LINE_SPACE = b" \t\n\v\f\r"
 _START = np.uint64(0x5DEECE66D1CE4E5B)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique returns (distinct, first place, inverse, counts), with 32-bit places and few temporary arrays."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    keys, at = ordered[new], order[new].astype(np.int32)
+    del ordered
+    inverse = np.empty(len(x), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys, at, inverse, np.diff(np.flatnonzero(new), append=len(x)).astype(np.int32)
+
+
 class _Chunk:
     """Words, languages and bigrams of a chunk; the same from each call on the same rows."""
 
     def __init__(self, t: pa.Table, bits: int):
-        self.rows = X.unpacked(t)
-        self.texts = X.texts(self.rows)
+        rows = X.unpacked(t)
+        self.texts = X.texts(rows)
+        self.rows = rows.drop_columns("text")
+        del rows
         self.w = W.split(self.texts)
         names = ["" if x is None else "=" + x for x in self.rows["lang"].to_pylist()]
         self.langs, lang_of = np.unique(np.array(names, dtype=object).astype(str), return_inverse=True)
         self.lang_keys = W.hashes(W.split([x.encode() or b"-" for x in self.langs.tolist()])) if len(self.langs) else np.zeros(0, W.U)
-        h = W.hashes(self.w)
-        self.plain = h
-        self.lang_of_word = lang_of[self.w.text_of()]
-        target = W.mix(h ^ self.lang_keys[self.lang_of_word])
+        self.plain = W.hashes(self.w)
+        lang_of_word = lang_of.astype(np.int32)[self.w.text_of()]
+        target = W.mix(self.plain ^ self.lang_keys[lang_of_word])
         history = np.empty_like(target)
         history[1:] = target[:-1]
         begin = self.w.first[:-1][self.w.counts() > 0]
-        history[begin] = W.mix(_START ^ self.lang_keys[self.lang_of_word[begin]])
-        pair = W.mix(history * np.uint64(3) + target) >> np.uint64(64 - bits)
-        self.keys, at, self.inverse, self.counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        self.word_keys, ids = np.unique(np.concatenate((history[at], target[at])) >> np.uint64(64 - bits), return_inverse=True)
+        history[begin] = W.mix(_START ^ self.lang_keys[lang_of_word[begin]])
+        self.keys, at, self.inverse, self.counts = _distinct(W.mix(history * np.uint64(3) + target) >> np.uint64(64 - bits))
+        self.lang_of_pair = lang_of_word[at]
+        history, target = history[at], target[at]
+        self.word_keys, _, ids, _ = _distinct(np.concatenate((history, target)) >> np.uint64(64 - bits))
         self.history, self.target = ids[: len(at)], ids[len(at) :]
-        self.lang_of_pair = self.lang_of_word[at]
 
 
 def _bigram_answers(t: pa.Table, n: int, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +125,20 @@ def _log_ppl(c: _Chunk, count: np.ndarray, stats: dict[str, np.ndarray], totals:
     """Log perplexity of each text of a chunk, and its words, by a model's counts of the chunk's bigrams, words and languages."""
     t1, t2, t3, t4 = (np.maximum(totals[f"t{i}"], 1) for i in (1, 2, 3, 4))
     y = t1 / (t1 + 2 * t2)
-    d = [np.clip(x, 0.05, top)[c.lang_of_pair] for x, top in ((1 - 2 * y * t2 / t1, 1), (2 - 3 * y * t3 / t2, 2), (3 - 4 * y * t4 / t3, 3))]
-    of = lambda k: stats[k][c.history]
-    discount = np.where(count == 1, d[0], np.where(count == 2, d[1], d[2]))
-    left = d[0] * of("n1") + d[1] * of("n2") + d[2] * of("n3")
-    # a word that the model has not seen counts as half a continuation; after a history that it has not seen, continuations alone tell
-    base = np.maximum(stats["cont"][c.target], UNSEEN) / np.maximum(totals["all"][c.lang_of_pair], 1)
-    p = np.where(of("c") > 0, (np.maximum(count - discount, 0) + left * base) / np.maximum(of("c"), 1), base)
-    surprise = -np.log(np.maximum(p, 1e-12))
+    d = [np.clip(x, 0.05, top) for x, top in ((1 - 2 * y * t2 / t1, 1), (2 - 3 * y * t3 / t2, 2), (3 - 4 * y * t4 / t3, 3))]
+    every = np.maximum(totals["all"], 1)
+    surprise = np.empty(len(count))
+    for a in range(0, len(count), RUN_PAIRS):
+        part = slice(a, a + RUN_PAIRS)
+        n, lang, history = count[part], c.lang_of_pair[part], c.history[part]
+        of = {k: stats[k][history] for k in ("c", "n1", "n2", "n3")}
+        d1, d2, d3 = (x[lang] for x in d)
+        discount = np.where(n == 1, d1, np.where(n == 2, d2, d3))
+        left = d1 * of["n1"] + d2 * of["n2"] + d3 * of["n3"]
+        # a word that the model has not seen counts as half a continuation; after a history that it has not seen, continuations alone tell
+        base = np.maximum(stats["cont"][c.target[part]], UNSEEN) / every[lang]
+        p = np.where(of["c"] > 0, (np.maximum(n - discount, 0) + left * base) / np.maximum(of["c"], 1), base)
+        surprise[part] = -np.log(np.maximum(p, 1e-12))
     n_words = c.w.counts()
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.bincount(c.w.text_of(), weights=surprise[c.inverse], minlength=len(c.texts)) / n_words, n_words
@@ -314,22 +336,28 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
 
 def base_measures(w: W.Words, h: np.ndarray, texts: list[bytes | None]) -> dict[str, pa.Array]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    n = w.counts()
-    leads = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
-    chars = np.concatenate(([0], np.cumsum(leads[w.ends] - leads[w.starts])))[w.first]
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    symbols = np.concatenate(([0], np.cumsum(symbol[w.data])))[w.offsets]
-    k, at = W.windows(h, w.first, REPEAT_WINDOW)
-    text_of = w.text_of()
-    _, inverse, counts = np.unique(W.mix(k + text_of[at].astype(W.U) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    again = W.covered(at[counts[inverse] > 1], REPEAT_WINDOW, len(h))
-    repeats = np.concatenate(([0], np.cumsum(again)))[w.first]
-    dups = []
-    for x in texts:
+    n = w.counts()
+    out = {"n_words": n, **{k: np.zeros(len(texts), np.int64) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}}
+    edges = np.unique(np.append(np.searchsorted(w.offsets, np.arange(0, w.offsets[-1], RUN_BYTES)), len(texts)))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        data, begin, first = w.data[w.offsets[a] : w.offsets[b]], w.offsets[a:b] - w.offsets[a], w.first[a : b + 1]
+        own = slice(first[0], first[-1])
+        first = first - first[0]
+        length = np.concatenate(([0], np.cumsum(w.ends[own] - w.starts[own])))[first]
+        # bytes within a character are within words, and each text has a byte at least, that of its end
+        out["word_chars"][a:b] = np.diff(length) - np.add.reduceat((data & 0xC0) == 0x80, begin, dtype=np.int64)
+        out["n_symbols"][a:b] = np.add.reduceat(symbol[data], begin, dtype=np.int64)
+        k, at = W.windows(h[own], first, REPEAT_WINDOW)
+        text_of = np.repeat(np.arange(b - a), n[a:b])
+        _, inverse, counts = np.unique(W.mix(k + text_of[at].astype(W.U) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+        again = W.covered(at[counts[inverse] > 1], REPEAT_WINDOW, first[-1])
+        out["n_repeat_words"][a:b] = np.diff(np.concatenate(([0], np.cumsum(again)))[first])
+    for i, x in enumerate(texts):
         lines = [y for y in (x or b"").split(b"\n") if y.strip(_LINE_SPACE)]
-        dups.append(len(lines) - len(set(lines)))
-    return {k: pa.array(v, pa.int64()) for k, v in {"n_words": n, "word_chars": np.diff(chars), "n_symbols": np.diff(symbols), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": np.diff(repeats)}.items()}
+        out["n_dup_lines"][i] = len(lines) - len(set(lines))
+    return {k: pa.array(v, pa.int64()) for k, v in out.items()}
 
 
 def quality_filter(docs: DataFrame, fence: float = FENCE) -> DataFrame:

@@ -13,10 +13,12 @@ import json
 import math
 import re
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -372,6 +374,44 @@ def test_quality_rules(spark, corpus):
     assert np.mean([g["kept"] for g in got.values() if not g["base_failed"]]) > 0.9
 
 
+@pytest.mark.parametrize("run_bytes", [1, 40, 1 << 20])
+def test_base_measures_in_runs_of_texts(corpus, monkeypatch, run_bytes):
+    monkeypatch.setattr(perplexity, "RUN_BYTES", run_bytes, raising=False)
+    texts = [None, "", " \n\t ", "é", "a b c d e a b c d e\nx\nx", "日本 語 #*$ <&>|%", *[r[1] for r in corpus[:30]], "", "ü " * 200, None]
+    for some in (texts, texts[:1], []):
+        w = W.split([t and t.encode() for t in some])
+        got = perplexity.base_measures(w, W.hashes(w), [t and t.encode() for t in some])
+        assert list(zip(*(got[k].to_pylist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [brute_base(t) for t in some]
+
+
+def test_distinct_keys_are_those_of_numpy():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, W.U), np.zeros(5, W.U), rng.integers(0, 50, 1000).astype(W.U), rng.permutation(1000).astype(W.U)):
+        for got, want in zip(perplexity._distinct(x), np.unique(x, return_index=True, return_inverse=True, return_counts=True), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_a_chunk_is_scored_in_a_bounded_multiple_of_its_text():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 400) % 10**6) for _ in range(2200)]
+    size = sum(map(len, texts))
+    n = len(texts)
+    t = pa.table({"doc_id": pa.array(range(n)), "text": pa.array(texts), "lang": pa.array(["en", "de"] * (n // 2)), "h": pa.array(range(n))})
+    body = pa.table({"body": pa.array([exchange._pack(t)], pa.binary())})
+    del t, texts
+    tracemalloc.start()
+    try:
+        c = perplexity._Chunk(body, 38)
+        made = tracemalloc.get_traced_memory()[1]
+        perplexity.base_measures(c.w, c.plain, c.texts)
+        stats, totals = {k: np.ones(len(c.word_keys)) for k in perplexity.STATS}, {k: np.ones(len(c.langs)) for k in perplexity.LANG_STATS}
+        perplexity._log_ppl(c, c.counts, stats, totals)
+        scored = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 2e6 and made < 28 * size and scored < 28 * size, (size, made / size, scored / size)
+
+
 def test_stored_model_scores_its_corpus_and_others(spark, corpus, tmp_path):
     rows = [(*r[:2], (None, "en", "fr")[i % 3], *r[3:]) for i, r in enumerate(corpus)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)

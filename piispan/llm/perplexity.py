@@ -327,10 +327,13 @@ def score_perplexity(docs: DataFrame) -> DataFrame:
         log_ppl, n_words = _log_ppl(c, count, stats, totals)
         return pa.table({"doc_id": c.rows["doc_id"], "lang": c.rows["lang"], **base_measures(c.w, c.plain, c.texts), "log_ppl": pa.array(log_ppl, mask=n_words == 0)})
 
+    # a bucket is little work: a task for each core, or as many as keep a task's share bounded, so that few files are written
+    cores = min(n_partitions(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
+    by_bucket = lambda df: df.repartition(max(cores, -(-n // X.CHUNKS_A_TASK)), "bucket").groupBy("bucket")
     by_chunk = lambda df: df.groupBy("chunk")
     # three jobs, the first two written to the shared folder: each holds the shuffled texts and one exchange
-    counted = stored_alone(X.dealt(by_chunk(chunks).applyInArrow(send, X.CELLS), n, "bucket").groupBy("bucket").applyInArrow(sum_bigrams, X.CELLS), "bigrams")
-    summed = stored_alone(by_chunk(chunks).cogroup(by_chunk(counted)).applyInArrow(word_stats, X.CELLS).transform(lambda d: X.dealt(d, n, "bucket")).groupBy("bucket").applyInArrow(sum_words, X.CELLS), "words")
+    counted = stored_alone(by_bucket(by_chunk(chunks).applyInArrow(send, X.CELLS)).applyInArrow(sum_bigrams, X.CELLS), "bigrams")
+    summed = stored_alone(by_bucket(by_chunk(chunks).cogroup(by_chunk(counted)).applyInArrow(word_stats, X.CELLS)).applyInArrow(sum_words, X.CELLS), "words")
     return by_chunk(chunks).cogroup(by_chunk(counted.unionByName(summed))).applyInArrow(score, SCORED.format(id=id_name))
 
 

@@ -412,6 +412,20 @@ def test_a_chunk_is_scored_in_a_bounded_multiple_of_its_text():
     assert size > 2e6 and made < 28 * size and scored < 28 * size, (size, made / size, scored / size)
 
 
+def test_exchanges_are_written_as_few_files(spark, corpus, monkeypatch):
+    written, plain = [], perplexity.stored_alone
+    monkeypatch.setattr(perplexity, "stored_alone", lambda df, name: written.append(plain(df, name)) or written[-1])
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = {r["doc_id"]: r["log_ppl"] for r in perplexity.score_perplexity(spark.createDataFrame(corpus[:40], SCHEMA)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    for r, log_ppl in zip(corpus[:40], brute_log_ppl([r[1] for r in corpus[:40]], [r[2] for r in corpus[:40]]), strict=True):
+        assert got[r[0]] == (log_ppl if log_ppl is None else pytest.approx(log_ppl, rel=1e-9))
+    assert len(written) == 2 and all(1 <= len(d.inputFiles()) <= spark.sparkContext.defaultParallelism for d in written)
+
+
 def test_stored_model_scores_its_corpus_and_others(spark, corpus, tmp_path):
     rows = [(*r[:2], (None, "en", "fr")[i % 3], *r[3:]) for i, r in enumerate(corpus)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from piispan.functions import alias, checks, native_text, patterns
 from piispan.functions import detector as D
+from piispan.functions import normalize as N
 from piispan.functions.normalize import TRANSFORM_NAMES, normalize
 from piispan.functions.tracked import Tracked
 from piispan.operators import act, aliasing, arbitrate, detect, evaluate, intervals, merge, telemetry
@@ -453,3 +454,36 @@ def test_masked_addresses(local, found):
 @pytest.mark.parametrize(("before", "words"), [("CC: ", ("cc",)), ("cc # ", ("cc",)), ("his cc, ", ("cc",)), ("bccd ", ()), ("success ", ()), ("credit ", ("credit",))])
 def test_context_words_of_cards(before, words):
     assert [s.context_keywords for s in D.detect(f"{before}it is 4111-1111-1111-1111") if s.entity_type == "CREDIT_CARD"] == [words]
+
+
+@pytest.mark.parametrize("name", ["norm_known", "norm_offsets", "detect_known", "features_known"])
+def test_known_answers_of_one_file_take_all_cores(spark, tmp_path, name):
+    from piispan import queries
+
+    spark.range(64).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    df = queries.queries()[name](spark, str(tmp_path))
+    rows = df.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism
+    assert max(rows) <= sum(rows) / spark.sparkContext.defaultParallelism
+
+
+@RELAXED
+@given(TEXTS)
+def test_rules_by_bits_equal_rules_by_needs(text):
+    own = D._rules(None)
+    has = lambda n, e: bool(patterns.SHAPES[n].search(e)) if n in patterns.SHAPES else n in e.lower()
+    for e in (text, *(e + text for _, e in EXAMPLES)):
+        assert own.active(e) == [r for r in own.rules if not r.need or any(has(n, e) for n in r.need)]
+
+
+@RELAXED
+@given(TEXTS, st.sampled_from([e for _, e in EXAMPLES] + ["a<!-- b -->", "rot13: uryyb", "'a' + 'b'", "user [at] mail (dot) com", "gro.b@x_olleh", "exicoMay nEW yORK"]))
+def test_transforms_not_tried_would_change_nothing(some, text):
+    for whole in (some, some + text, text + some):
+        for e in (whole, "".join(filter(str.isascii, whole))):
+            may = N._may(e)
+            for i, (name, run) in enumerate(N.TRANSFORMS):
+                if run and not may >> i & 1:
+                    t = Tracked(e)
+                    assert not run(t), name
+                    assert t.text == e

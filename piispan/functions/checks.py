@@ -34,7 +34,7 @@ LEAST_IP, GREATEST_IP = 16777216, 4294967295
 
 
 def digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(filter(str.isdigit, text))
 
 
 def luhn(number: str) -> bool:

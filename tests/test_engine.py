@@ -487,3 +487,13 @@ def test_transforms_not_tried_would_change_nothing(some, text):
                     t = Tracked(e)
                     assert not run(t), name
                     assert t.text == e
+
+
+@RELAXED
+@given(TEXTS, st.sampled_from([e for _, e in EXAMPLES] + ["####-####-####-1234", "1 2 3 4 5 6 7 8 9 0 1 2 3 4", "Aa, NY 12345", "Bb SW1A 1AA", "AB123456", "0123456789abcdef01234567", "1:2:3:4:5:6:7:8", "a::b", "020 7946 0958", "010.020.030.040"]))
+def test_rules_not_tried_have_no_match(some, text):
+    own = D._rules(None)
+    for e in (some, some + text, text + some):
+        tried = own.active(e)
+        assert not [r.name for r in own.rules if r not in tried and r.regex.search(e)]
+        assert own.active(e, D.SPACED_TYPES) == [r for r in tried if r.entity_type in D.SPACED_TYPES]
